@@ -72,21 +72,21 @@ def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFra
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_source": F.col("source").cast("string"), "_size": n_words_of(text_of()), "_h": row_hash(F.col("doc_id"), text_of())})
+    return docs.withColumns({"_mix_source": F.col("source").cast("string"), "_mix_size": n_words_of(text_of()), "_mix_h": row_hash(F.col("doc_id"), text_of())})
 
 
 def source_cuts(rows: DataFrame, weights: tuple[float, ...], share: float, cap: int, scratch: Scratch) -> DataFrame:
-    """(s, source_size, target, cuts) of (source, size, h): one row a source, as a written table, whose size Spark knows
+    """(_mix_of, source_size, target, _mix_cuts) of (source, size, h): one row a source, as a written table, whose size Spark knows
     when it chooses the joins with the documents. A row with hash h is taken as often as there are cuts above h."""
     goals = scratch.keep(source_targets(rows, weights, share, cap), "goals")
     levels = goals.select("source", F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("level"), "source_size", "target")
     budgets = levels.select("source", "level", F.greatest(F.lit(0.0), F.least(F.col("source_size").cast("double"), F.col("target") - (F.col("level") - 1) * F.col("source_size"))).alias("budget"))
-    cuts = thresholds(rows, budgets, scratch).groupBy("source").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))  # cap entries a source
-    return scratch.keep(goals.alias("g").join(cuts.alias("c"), F.expr("g.source <=> c.source")).select(F.col("g.source").alias("s"), "source_size", "target", "cuts"), "cuts")
+    cuts = thresholds(rows, budgets, scratch).groupBy("source").agg(F.array_sort(F.collect_list("cut")).alias("_mix_cuts"))  # cap entries a source
+    return scratch.keep(goals.alias("g").join(cuts.alias("c"), F.expr("g.source <=> c.source")).select(F.col("g.source").alias("_mix_of"), "source_size", "target", "_mix_cuts"), "cuts")
 
 
 def _copies(cap: int) -> Column:
-    return sum((F.coalesce((F.col("_h") < F.get("cuts", F.lit(i))).cast("int"), F.lit(0)) for i in range(cap)), F.lit(0))
+    return sum((F.coalesce((F.col("_mix_h") < F.get("_mix_cuts", F.lit(i))).cast("int"), F.lit(0)) for i in range(cap)), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -98,16 +98,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     Repeated rows share a hash and go together. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_rows(docs).select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), "rows")
+    rows = scratch.keep(_rows(docs).select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_h").alias("h")), "rows")
     cuts = source_cuts(rows, weights, share, cap, scratch)
-    both = rows.withColumnRenamed("h", "_h").join(cuts, F.expr("source <=> s")).withColumn("copies", _copies(cap))
+    both = rows.withColumnRenamed("h", "_mix_h").join(cuts, F.expr("source <=> _mix_of")).withColumn("copies", _copies(cap))
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The mix itself: docs with each row as often as mix() takes it, all columns kept; rows without words are left out."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_rows(docs).select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), "rows")
+    rows = scratch.keep(_rows(docs).select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_h").alias("h")), "rows")
     cuts = source_cuts(rows, weights, share, cap, scratch)
-    both = _rows(docs).where("_size > 0").join(cuts.select("s", "cuts"), F.expr("_source <=> s")).withColumn("_n", _copies(cap)).where("_n > 0")
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    both = _rows(docs).where("_mix_size > 0").join(cuts.select("_mix_of", "_mix_cuts"), F.expr("_mix_source <=> _mix_of")).withColumn("_mix_n", _copies(cap)).where("_mix_n > 0")
+    return both.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)

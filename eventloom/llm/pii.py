@@ -71,18 +71,18 @@ def _spans(kind: str, rank: int, located: Column) -> Column:
     return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["value"])).alias("stop"), x["value"].alias("value")))
 
 
-def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with base: the base spans of column text (no nulls), sorted by start, then kind as listed; code points, end exclusive."""
+def with_base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
+    """df with out: the base spans of column text (no nulls), sorted by start, then kind as listed; code points, end exclusive."""
     for rank, kind in enumerate(KINDS):
-        p, h, s = (f"_{kind}_{x}" for x in "phs")
+        p, h, s = (f"_pii_{kind}_{x}" for x in "phs")
         pieces, hits = _pieces(F.col(text), PATTERNS[kind])
         there = F.col(text).rlike(HINTS[kind])
         df = df.withColumn(h, once(F.when(there, hits))).withColumn(p, once(F.when(F.size(h) > 0, pieces)))
         spans = _spans(kind, rank, _located(F.col(h), F.col(p)))
         df = df.withColumn(s, once(F.when(F.size(h) > 0, spans))).drop(p, h)
     none = F.array().cast(SPANS)
-    parts = [f"_{k}_s" for k in KINDS]
-    return df.withColumn("base", once(F.sort_array(F.concat(*[F.coalesce(F.col(c), none) for c in parts])))).drop(*parts)
+    parts = [f"_pii_{k}_s" for k in KINDS]
+    return df.withColumn(out, once(F.sort_array(F.concat(*[F.coalesce(F.col(c), none) for c in parts])))).drop(*parts)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -181,20 +181,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs).where("size(base) > 0"), "scanned")
-    extra = term_spans(docs, scanned, scratch).select(F.col("row").alias("_row"), "extra")
-    df = with_base_spans(docs.withColumns({"_text": text_of(), "_key": row_key()}), "_text")
-    df = df.join(extra, F.col("_key") == F.col("_row"), "left")
-    df = df.withColumn("_all", once(F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(SPANS))))))
+    extra = term_spans(docs, scanned, scratch).select(F.col("row").alias("_pii_row"), F.col("extra").alias("_pii_extra"))
+    df = with_base_spans(docs.withColumns({"_pii_text": text_of(), "_pii_key": row_key()}), "_pii_text", "_pii_base")
+    df = df.join(extra, F.col("_pii_key") == F.col("_pii_row"), "left")
+    df = df.withColumn("_pii_all", once(F.sort_array(F.concat("_pii_base", F.coalesce("_pii_extra", F.array().cast(SPANS))))))
     mark = lambda x: F.when(x["kind"] == "term_remove", "").when(x["kind"] == "term_generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
-        gap = F.substr("_text", acc["at"] + 1, x["start"] - acc["at"])
+        gap = F.substr("_pii_text", acc["at"] + 1, x["start"] - acc["at"])
         add = F.when(x["start"] >= acc["at"], F.array(gap, mark(x))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], add).alias("out"))
 
-    done = F.aggregate("_all", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_text", acc["at"] + 1, F.length("_text"))))
-    df = df.withColumn("text", once(F.when(F.size("_all") > 0, done).otherwise(F.col("text"))))
+    done = F.aggregate("_pii_all", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_pii_text", acc["at"] + 1, F.length("_pii_text"))))
+    df = df.withColumn("text", once(F.when(F.size("_pii_all") > 0, done).otherwise(F.col("text"))))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
+        df = df.withColumn("n_chars", F.when(F.size("_pii_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
     return df.select(*docs.columns)

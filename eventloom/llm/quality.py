@@ -101,5 +101,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are."""
-    gone = judge(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_hash")), "left_anti")
+    gone = judge(docs).where("NOT kept").select(F.col("doc_id").alias("_quality_id"), F.col("text_hash").alias("_quality_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_quality_id")) & (F.xxhash64(text_of()) == F.col("_quality_hash")), "left_anti")

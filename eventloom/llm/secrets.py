@@ -24,8 +24,8 @@ CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(CHARS) + 1  # and one for the start of a string
 CODE = np.full(256, -1, np.int64)
 CODE[list(CHARS.encode())] = np.arange(1, N)
-PRIOR = 20.0  # counts of an even distribution that each context starts with, shared by all characters
-MIN_LLR = 1.0  # nats a character by which the random model must win
+PRIOR = 20.0  # observations that the order below counts for
+MIN_LLR = 0.5  # nats a character by which the random model must win
 MIN_EVIDENCE = 12.0  # and nats in all
 
 
@@ -47,21 +47,27 @@ def transitions(strings: list[bytes]) -> np.ndarray:
     ok = c >= 0
     c = np.where(ok, c, 0)
     p1 = np.concatenate(([0], c[:-1]))
-    p2 = np.concatenate(([0, 0], c[:-2])) * (p1 > 0)
+    p2 = np.concatenate(([0, 0], c[:-2]))[: len(c)] * (p1 > 0)
     return ((p2 * N + p1) * N + c)[ok]
 
 
 class Models:
-    """Log-likelihood ratio, random against ordinary, of each transition."""
+    """Log-likelihood ratio, random against ordinary, of each transition.
+
+    Each order backs off to the one below it, with the weight of PRIOR observations; the lowest to an even distribution.
+    Random strings are mixed half and half with evenly random ones, so that alphabets that the samples lack count too.
+    """
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray):
-        self.ratio = self._log(random) - self._log(ordinary)
+        self.ratio = np.log(0.5 * self._shares(random) + 0.5 / (N - 1)) - np.log(self._shares(ordinary))
 
     @staticmethod
-    def _log(counts: np.ndarray) -> np.ndarray:
-        c = counts.reshape(N * N, N)[:, 1:].astype(np.float64)
-        c = (c + PRIOR / (N - 1)) / (c.sum(1, keepdims=True) + PRIOR)
-        return np.concatenate((np.zeros((N * N, 1)), np.log(c)), 1).ravel()
+    def _shares(counts: np.ndarray) -> np.ndarray:
+        c = counts.reshape(N, N, N).astype(np.float64)
+        p = np.full(N, 1 / (N - 1))
+        for part in (c.sum((0, 1)), c.sum(0), c):
+            p = (part + PRIOR * p) / (part.sum(-1, keepdims=True) + PRIOR)
+        return np.maximum(p, 1e-12).ravel()
 
     def llr(self, s: str) -> float:
         return float(self.ratio[transitions([s.encode("ascii", "replace")])].sum())

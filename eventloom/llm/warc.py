@@ -105,8 +105,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", f"WARC/1.1{CRLF}").text(path).where("value <> ''")
     at = F.instr("value", CRLF + CRLF)
     df = raw.select(F.substr("value", F.lit(1), at + 1).alias("h"), F.substr("value", at + 4).alias("b"))
-    get = lambda name: F.regexp_extract("h", rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    get = lambda name: F.regexp_extract("h", rf"(?m)^{name}: ([^\r\n]*)\r\n", 1)
     df = df.withColumn("block", F.regexp_replace("b", r"\r\n\r\n\n?\z", ""))
-    ok = (F.octet_length("block") == get("Content-Length").cast("long")) & (digest(F.col("block")) == get("WARC-Block-Digest"))
+    ok = (F.octet_length("block") == get("Content-Length").try_cast("long")) & (digest(F.col("block")) == get("WARC-Block-Digest"))
     names = [("record_id", "WARC-Record-ID"), ("warc_type", "WARC-Type"), ("target_uri", "WARC-Target-URI"), ("date", "WARC-Date"), ("content_type", "Content-Type"), ("refers_to", "WARC-Refers-To")]
     return df.select(*[F.when(get(n) != "", get(n)).alias(c) for c, n in names], "block", F.coalesce(ok, F.lit(False)).alias("intact"))

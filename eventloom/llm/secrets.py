@@ -2,6 +2,7 @@
 
 Both models are of order 2 over the characters of credentials. Labelled samples come from the corpus itself: values
 that a base pattern finds are random strings; all other runs of those characters are ordinary identifiers and words.
+Long runs with letters and digits that no base pattern finds are the candidates; they have no label and train neither.
 Transitions are counted over all documents; the tables have a fixed size.
 """
 
@@ -73,13 +74,17 @@ class Models:
         return float(self.ratio[transitions([s.encode("ascii", "replace")])].sum())
 
 
+def mixed(s: str) -> bool:
+    return re.search("[0-9]", s) is not None and re.search("[A-Za-z]", s) is not None
+
+
 def _mask(t: str, spans) -> str:
     out, at = [], 0
     for start, _, _, end, _ in spans:
         if end > at:
             out.append(t[at : max(at, start)])
             at = end
-    return "\n".join([*out, t[at:]])
+    return RUN.sub(lambda m: "\n" if mixed(m[0]) else m[0], "\n".join([*out, t[at:]]))
 
 
 def train(docs: DataFrame) -> Models:
@@ -94,7 +99,7 @@ def train(docs: DataFrame) -> Models:
             for t in [*b.column("text").to_pylist(), None]:
                 if t:
                     spans = base_spans(t)
-                    plain.append((_mask(t, spans) if spans else t).encode("utf-8", "replace"))
+                    plain.append(_mask(t, spans).encode("utf-8", "replace"))
                     values += [t[v:e].encode() for _, _, _, e, v in spans]
                     size += len(t)
                 if size > 1 << 20 or t is None:
@@ -117,7 +122,7 @@ def found_by(models: Models, t: str, base) -> list[tuple[int, int, str, int, int
         s = m[0]
         if any(b[0] < m.end() and m.start() < b[3] for b in base):
             continue
-        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        if not mixed(s):
             continue
         x = models.llr(s)
         if x >= MIN_EVIDENCE and x >= MIN_LLR * len(s):

@@ -182,7 +182,7 @@ def test_secrets(spark, odd):
     rng = random.Random(12)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rand = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    texts = list(odd) + [prose(rng, 40) + f' TOKEN = "{hexes(40).upper()}" api-key=1 apikey: ab PassWd=\'{rand(9)}\' AKIA{rand(16).upper()} {hexes(24)} x{hexes(23)}' for _ in range(60)] + ["toKen=ſecret1 toKen=abcdef", "AKIAAKIA" + "Z" * 16]
+    texts = [f"the name of_the_{a}_{b}_{i} is" for i in range(10) for a in WORDS for b in ("some", "ordinary", "number", "identifier")] + list(odd) + [prose(rng, 40) + f' TOKEN = "{hexes(40).upper()}" api-key=1 apikey: ab PassWd=\'{rand(9)}\' AKIA{rand(16).upper()} {hexes(24)} x{hexes(23)}' for _ in range(60)] + ["toKen=ſecret1 toKen=abcdef", "AKIAAKIA" + "Z" * 16]
     planted = len(texts)
     texts += [f"use {rand(32)} here", "the internationalization_configuration_of_all_things 4111111111111111111111", "some_long_ordinary_identifier_name_number_2 is fine"]
     got = {r["doc_id"]: r for r in secrets.scan(clashing(docs_of(spark, texts))).collect()}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import core
+
+PARTS = [core]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in part.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQL.items()}

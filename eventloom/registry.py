@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core
+from .plans import core, incidents
 
-PARTS = [core]
+PARTS = [core, incidents]
 
 
 def queries() -> dict:

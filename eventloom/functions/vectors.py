@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def edit_distance(a: list, b: list) -> int:
 
 def word_edits(a: Column, b: Column) -> Column:
     """Word edit distance of two arrays of strings, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([edit_distance(list(p), list(q)) for p, q in zip(x, y, strict=True)])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core, incidents
+from .plans import adaptation, core, incidents, streams, workspace
 
-PARTS = [core, incidents]
+PARTS = [core, incidents, adaptation, workspace, streams]
 
 
 def queries() -> dict:

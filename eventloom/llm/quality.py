@@ -18,9 +18,9 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\f\r", ".,;:'\"?-()", "!", SYMBOLS + "=+^~_\\/{}[]@`"]
 N_COMMON = 12  # words of a language's common-word histogram
 #: Guards: fewer words than these are not judged by the histogram.
-MIN_FOR_CLASSES, MIN_FOR_WORDS = 20, 80
+MIN_FOR_CLASSES, MIN_FOR_WORDS = 40, 40
 #: Jensen-Shannon distances (0 to 1) beyond which a document is rejected; chosen on labelled documents, see README.
-MAX_CLASSES, MAX_WORDS = 0.20, 0.45
+MAX_CLASSES, MAX_WORDS = 0.24, 0.38
 
 
 def _count(t: Column, chars: str) -> Column:

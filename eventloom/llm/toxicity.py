@@ -59,8 +59,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7, rounds: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
-    """Adam on the log loss of all rows given. Without both labels, a constant machine."""
+def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7, rounds: int = 250, rate: float = 0.05, decay: float = 5e-4, lift: float = 3.0) -> Machine:
+    """Adam on the log loss of all rows given, toxic ones weighing lift times. Without both labels, a constant machine."""
     slot = np.full(1 << BITS, -1, np.int32)
     n1 = int(y.sum())
     if not n1 or n1 == len(y):
@@ -82,11 +82,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7, rounds: int = 250,
     rng = np.random.default_rng(seed)
     w0, w, v = np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)
     x2, y = x**2, y.astype(np.float32)
+    weight = np.where(y > 0, lift, 1.0).astype(np.float32)
+    weight /= weight.sum()
     mean1, mean2 = [[np.zeros_like(a) for a in (w0, w, v)] for _ in range(2)]
     for t in range(1, rounds + 1):
         xv = x @ v
         z = w0 + x @ w + 0.5 * ((xv**2).sum(1) - x2 @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         grads = [g.sum(keepdims=True), x.T @ g + decay * w, x.T @ (xv * g[:, None]) - v * (x2.T @ g)[:, None] + decay * v]
         for a, d, m, s in zip((w0, w, v), grads, mean1, mean2, strict=True):
             m += 0.1 * (d - m)

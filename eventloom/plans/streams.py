@@ -122,3 +122,71 @@ def str01_validate(spark, sf_dir):
     streams.stream_validate(s, "normalized.logs.v1", f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint")
     n = lambda name, ok: spark.read.parquet(f"{folder}/{name}").agg(F.lit(ok).alias("valid"), F.count("*").alias("n"))
     return n("good", True).unionByName(n("bad", False))
+
+
+LOGS = f"SELECT log_id, source, severity, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS at FROM ({v.LOGS})"
+
+
+def _shown(df):
+    return df.select("log_id", "source", "severity", v.stamp("observed_at").alias("at"))
+
+
+@query(LOGS)
+def src01_read_artifacts(spark, sf_dir):
+    """The logs as JSON lines in the shared folder, read back with the topic's schema."""
+    from ..sources import topics
+
+    folder = _folder(spark)
+    v.logs(spark, sf_dir).write.json(f"{folder}/logs")
+    return _shown(topics.read_artifacts(spark, f"{folder}/logs", "normalized.logs.v1", lines=True))
+
+
+@query(f"SELECT log_id, source FROM ({v.LOGS})")
+def src02_read_raw(spark, sf_dir):
+    from ..sources import topics
+
+    folder = _folder(spark)
+    v.logs(spark, sf_dir).write.json(f"{folder}/logs")
+    raw = topics.read_raw(spark, f"{folder}/logs", array=False)
+    return raw.select(F.get_json_object("raw", "$.log_id").alias("log_id"), F.get_json_object("raw", "$.source").alias("source"))
+
+
+@query(LOGS)
+def src06_write_artifacts(spark, sf_dir):
+    from ..sources import topics
+
+    folder = _folder(spark)
+    topics.write_artifacts(v.logs(spark, sf_dir), "normalized.logs.v1", folder)
+    return _shown(spark.read.parquet(folder).where("topic = 'normalized.logs.v1' AND event_date >= '2023-01-01'"))
+
+
+@query(LOGS)
+def src07_08_stream_topic(spark, sf_dir):
+    from .. import schemas
+    from ..sources import topics
+
+    folder = _folder(spark)
+    v.logs(spark, sf_dir).write.parquet(f"{folder}/in")
+    topics.write_stream_topic(topics.read_stream_topic(spark, f"{folder}/in", "normalized.logs.v1", "parquet"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _shown(spark.read.schema(schemas.TOPICS["normalized.logs.v1"]).parquet(f"{folder}/out"))
+
+
+@query("SELECT DISTINCT p_brand AS id, 'quality' AS kind, 0.0 AS lo, 2 AS n_dimensions FROM part")
+def src13_read_metric_registry(spark, sf_dir):
+    """A registry with one metric a brand, as a text file."""
+    from ..sources import topics
+
+    folder = _folder(spark)
+    entry = F.concat(F.lit("  - id: '"), F.col("p_brand"), F.lit("'\n    kind: quality\n    range: [0, null]\n    dimensions: [split, topic]"))
+    v.table(spark, sf_dir, "part").select("p_brand").distinct().select(entry.alias("value")).write.text(folder)
+    return topics.read_metric_registry(spark, folder).select("id", "kind", F.col("range")[0].alias("lo"), F.size("dimensions").alias("n_dimensions"))
+
+
+@query("SELECT p_name AS path, p_brand AS kind, CAST(p_size AS BIGINT) AS bytes, p_type AS path_repr FROM part")
+def src14_read_inventory_tsv(spark, sf_dir):
+    from ..sources import topics
+
+    folder = _folder(spark)
+    p = v.table(spark, sf_dir, "part").select(F.col("p_name").alias("path"), F.col("p_brand").alias("kind"), F.col("p_size").cast("long").alias("bytes"), F.col("p_type").alias("path_repr"))
+    p.write.option("sep", "\t").option("header", True).csv(folder)
+    return topics.read_inventory_tsv(spark, folder)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_artifacts(spark: SparkSession, path: str, topic: str) -> DataFrame:
-    """SRC-01. Records of a topic from JSON arrays or lines, with the topic's fixed schema (empty files have rows of none)."""
-    return spark.read.schema(schemas.TOPICS[topic]).option("multiLine", True).json(path)
+def read_artifacts(spark: SparkSession, path: str, topic: str, lines: bool = False) -> DataFrame:
+    """SRC-01. Records of a topic from JSON arrays, or from JSON lines (which split), with the topic's fixed schema; an empty file has no rows."""
+    return spark.read.schema(schemas.TOPICS[topic]).option("multiLine", not lines).json(path)
 
 
 def read_raw(spark: SparkSession, path: str, array: bool = True) -> DataFrame:

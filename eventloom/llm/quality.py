@@ -1,6 +1,6 @@
 """Quality rules: repetition and length counts, and divergence of a document's histograms from its language's reference.
 
-DataFrame functions only. The references are sums over all documents of a language that pass the base rules.
+DataFrame functions only. The common words are those of all documents of a language, the references sums over its documents that pass the base rules.
 """
 
 from __future__ import annotations
@@ -30,14 +30,17 @@ def _count(t: Column, chars: str) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """docs' doc_id, lang and base counts, classes (characters of each class) and low (lower-cased words)."""
     df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("t"), F.xxhash64(text_of()).alias("text_hash"))
-    df = df.withColumn("w", once(words_of(F.col("t"))))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # what is frequent goes first, so that the other classes are counted in what little is left
+    df = df.withColumns({"w": once(words_of(F.col("t"))), "lines": once(lines), "t1": once(F.regexp_replace("t", "[a-z]+", ""))})
+    df = df.withColumn("t2", once(F.regexp_replace("t1", r"[\x20\x09-\x0D]+", "")))
     hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
-    df = df.withColumns({"lines": once(lines), "h": once(F.when(F.size("w") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))})
-    counts = [_count(F.col("t"), c) for c in CLASSES]
-    wide = F.length(F.regexp_replace("t", r"[\x00-\x7F]+", ""))
+    df = df.withColumn("h", once(F.when(F.size("w") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))))
+    lower, space = F.length("t") - F.length("t1"), F.length("t1") - F.length("t2")
+    counts = [lower, *[_count(F.col("t2"), c) for c in CLASSES[1:3]], space, *[_count(F.col("t2"), c) for c in CLASSES[4:]]]
+    wide = F.length(F.regexp_replace("t2", r"[\x00-\x7F]+", ""))
     df = df.select(
-        "doc_id", "lang", "text_hash", "w", F.size("w").cast("long").alias("n_words"), (F.length("t") - _count(F.col("t"), CLASSES[3])).cast("long").alias("word_chars"), _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        "doc_id", "lang", "text_hash", "w", F.size("w").cast("long").alias("n_words"), (F.length("t") - space).cast("long").alias("word_chars"), _count(F.col("t2"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", (F.size("h") > F.size(F.array_distinct("h"))).alias("again"), F.array(*counts, wide).alias("c"), F.length("t").alias("n"),
     )
     # windows that occur twice or more stand next to each other once sorted; words under them are counted once
@@ -53,9 +56,10 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("low", once(F.transform("w", lambda x: F.lower(x)))).drop("w")
 
 
-def common_words(feats: DataFrame) -> DataFrame:
-    """(lang, common): the N_COMMON most frequent words of a language's passing documents, ties by word. Counts are combined before the shuffle."""
-    n = feats.where("NOT base_failed").select("lang", F.explode("low").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """(lang, common): the N_COMMON most frequent lower-cased words of all documents of a language, ties by word. Counts are combined before the shuffle."""
+    words = docs.select(F.col("lang").cast("string").alias("lang"), F.explode_outer(F.split(F.lower(text_of()), r"[\x20\x09-\x0D]+")).alias("word"))
+    n = words.groupBy("lang", "word").agg(F.count("*").alias("n")).where("word <> ''")
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= N_COMMON)
     return top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("common"))
 
@@ -84,7 +88,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     feats = features(docs)
-    common = scratch.keep(common_words(feats), "common")
+    common = scratch.keep(common_words(docs), "common")
     hit = feats.join(common.withColumnRenamed("lang", "l"), F.expr("lang <=> l"), "left")
     hit = hit.withColumn("found", once(F.filter("low", lambda x: F.array_contains("common", x))))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lang", "text_hash", "classes"]

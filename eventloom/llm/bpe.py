@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 #: The pre-tokenizer's pattern of the byte-level vocabularies; a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 400_000  # pieces remembered by a task
+MEMO = 400_000  # pieces, and chunks, remembered by a task
+#: Where single blanks may stand next to other white space, or at an end; elsewhere a single blank starts a piece.
+_UNEVEN = regex.compile(r"[^\S\n\x20]|\x20[\n\x20]|\n\x20|^\x20|\x20$", regex.VERSION0)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -172,6 +174,15 @@ class Encoder:
             return self.cut.findall(text)
         return [p for k, part in enumerate(self.split.split(text)) for p in ([part] if k % 2 else self.cut.findall(part))]
 
+    def chunks(self, text: str) -> list[str]:
+        """Parts that no piece crosses: each single blank between other characters starts one. Uneven texts are one part."""
+        if not text:
+            return []
+        if _UNEVEN.search(text) or any(s in text for s in self.v.special):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
     def learn(self, cut: list[list[str]]) -> None:
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -190,6 +201,7 @@ class Encoder:
 
 
 CHUNK = 1 << 20  # characters encoded at once
+LONG = 64  # longer chunks are not remembered
 
 
 def _chunks(texts: list):
@@ -254,17 +266,19 @@ def digests(docs: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
         for b in batches:
             texts = b.column("_text").to_pylist()
             for lo, hi in _chunks(texts):
-                cut = [enc.pieces(t or "") for t in texts[lo:hi]]
-                enc.learn(cut)
+                cut = [enc.chunks(t or "") for t in texts[lo:hi]]
                 if len(shown) > MEMO:
                     shown.clear()
-                for p in {p for ps in cut for p in ps}:
-                    if p not in shown:
-                        ids = enc.memo[p]
-                        shown[p] = (len(ids), ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids]))
+                new = [c for c in {c for cs in cut for c in cs} if c not in shown]
+                pieces = [enc.pieces(c) for c in new]
+                enc.learn(pieces)
+                once = {}
+                for c, ps in zip(new, pieces, strict=True):
+                    ids = [i for p in ps for i in enc.memo[p]]
+                    (shown if len(c) <= LONG else once)[c] = (len(ids), ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids]))
                 n, ids, back = [], [], []
                 for ps in cut:
-                    got = [shown[p] for p in ps]
+                    got = [shown[p] if p in shown else once[p] for p in ps]
                     n.append(sum(x[0] for x in got))
                     ids.append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
                     text = b"".join([x[2] for x in got]).decode("utf-8", errors="replace")

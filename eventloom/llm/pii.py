@@ -122,7 +122,7 @@ def disclosures(docs: DataFrame, around: DataFrame, scratch: Scratch) -> DataFra
     # document counts of all terms, combined before the shuffle, and only then of those that are wanted: the rows of the
     # join grow with the wanted terms, not with how often they occur
     terms = docs.select(F.explode_outer(F.array_distinct(F.transform(words_of(text_of()), _term))).alias("term"))
-    n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
+    n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")  # inner: a semi join would be pushed below the counts
     n = docs.agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n"))
     ic = F.log(F.col("n") / F.least(F.col("n_value").cast("double"), F.col("n") - 1))
     pmi = F.log(F.col("n_both") * F.col("n") / (F.col("n_value").cast("double") * F.greatest("n_term", "n_both")))

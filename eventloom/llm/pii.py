@@ -1,13 +1,13 @@
 """Personal data: base patterns, and terms that corpus co-occurrence shows to reveal a protected value. DataFrame functions only.
 
-Disclosure of value e by term t is PMI(e; t) / IC(e): 1 when t stands near nothing but e, 0 when they are independent.
-IC(e) = -ln p(e). Document counts of terms cover the whole corpus; joint counts are of distinct contexts, so that
-copies of one passage count once.
+Disclosure of value e by term t is PMI(e; t) / IC(e): 1 when t stands in no document without e, 0 when they are
+independent. IC(e) = -ln p(e). Document counts of terms cover the whole corpus; joint counts are of distinct texts that
+hold both, at any distance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, once, text_of, words_of
@@ -23,8 +23,9 @@ PATTERNS = {
 }
 #: What a text must hold for its kind to be looked for at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9][\x200-9-]{11}", "phone": r"\+[0-9]"}
-CONTEXT = 64  # code points before and after a value whose whole words are its context
-MIN_CONTEXTS = 3  # distinct contexts that a term and a value must share
+MASK = "\uffff"  # stands for the code points of values; no character
+MIN_TEXTS = 3  # distinct texts that a term and a value must share
+SALTS = 8  # parts that the copies of one text are dealt to
 GENERALISE, REMOVE = 0.8, 0.95  # disclosure from which a term is generalised, removed
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int,value:string>>"
 
@@ -86,42 +87,60 @@ def with_base_spans(df: DataFrame, text: str = "text", out: str = "base") -> Dat
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, base, around) of docs(doc_id, text): the base spans, and the raw text on both sides of each."""
-    df = with_base_spans(docs.select("doc_id", row_key().alias("row"), text_of().alias("text")))
-    t = F.col("text")
+    """(doc_id, row, key, base, held) of docs(doc_id, text): the base spans, and the text, without its values, of a row that has some."""
+    df = with_base_spans(docs.select("doc_id", row_key().alias("row"), text_key().alias("key"), text_of().alias("text")))
+    return df.select("doc_id", "row", "key", "base", F.when(F.size("base") > 0, _masked(F.col("text"), F.col("base"))).alias("held"))
 
-    def around(x):
-        left = F.substr(t, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-        return F.struct(x["kind"].alias("kind"), F.lower(x["value"]).alias("value"), left.alias("left"), x["start"].alias("start"), F.substr(t, x["stop"] + 1, F.lit(CONTEXT)).alias("right"), x["stop"].alias("stop"), (F.length(t) - x["stop"] > CONTEXT).alias("more"))
 
-    return df.select("doc_id", "row", "base", once(F.transform("base", around)).alias("around"))
+def _plain(text: Column) -> Column:
+    """text without MASK, at the same length."""
+    return F.replace(text, F.lit(MASK), F.lit("\ufffe"))
 
 
-def contexts(scanned: DataFrame) -> DataFrame:
-    """(row, kind, value, left, left_at, right, right_at) of each base span of scan(): the text around it, without words cut in half."""
-    df = scanned.where("size(around) > 0").select("row", F.explode("around").alias("x")).select("row", "x.*")
-    left = F.when(F.col("start") > CONTEXT, F.regexp_replace("left", rf"^{WORD}", "")).otherwise(F.col("left"))
-    right = F.when(F.col("more"), F.regexp_replace("right", rf"{WORD}$", "")).otherwise(F.col("right"))
-    right = F.regexp_replace(right, rf"^{WORD}", "")  # what touches the value is no word of its own
-    df = df.select("row", "kind", "value", left.alias("l0"), "start", F.col("stop"), F.col("right").alias("r0"), right.alias("r1"))
-    trimmed = F.regexp_replace("r0", rf"^{WORD}", "")
-    return df.select("row", "kind", "value", F.regexp_replace("l0", rf"{WORD}$", "").alias("left"), (F.col("start") - F.length("l0")).alias("left_at"), F.col("r1").alias("right"), (F.col("stop") + F.length("r0") - F.length(trimmed)).alias("right_at"))
+def _masked(text: Column, base: Column) -> Column:
+    """text with MASK for each code point of its base spans."""
+    plain, none = _plain(text), F.array().cast("array<string>")
+
+    def step(acc, x):
+        start = F.greatest(acc["at"], x["start"])
+        add = F.when(x["stop"] > acc["at"], F.array(F.substr(plain, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), x["stop"] - start))).otherwise(none)
+        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+
+    return F.aggregate(base, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(plain, acc["at"] + 1, F.length(plain))))
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\p{Punct}]+|[\p{Punct}]+$", "")
 
 
 def _term(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"^[\p{Punct}]+|[\p{Punct}]+$", ""))
+    return F.lower(_bare(c))
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """(key, start, stop, value, term) of each word of texts(key, held); words that touch a base span are no terms."""
+    pieces, hits = _pieces(F.col("held"), WORD)
+    df = texts.withColumns({"_h": once(hits), "_p": once(pieces)})
+    df = df.select("key", F.posexplode(F.arrays_zip(F.slice("_p", 1, F.size("_h")).alias("p"), F.col("_h").alias("h"))).alias("i", "x"))
+    df = df.select("key", "i", F.col("x.h").alias("h"), F.length("x.p").alias("gap"))
+    upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # within one document
+    lead = F.length("h") - F.length(F.regexp_replace("h", r"^[\p{Punct}]+", ""))
+    df = df.withColumn("start", (F.sum(F.col("gap") + F.length("h")).over(upto) - F.length("h") + lead).cast("int")).withColumn("value", _bare(F.col("h")))
+    df = df.where(~F.contains("h", F.lit(MASK)) & (F.col("value") != ""))
+    return df.select("key", "start", (F.col("start") + F.length("value")).alias("stop"), "value", F.lower("value").alias("term"))
 
 
-def disclosures(docs: DataFrame, around: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, term, disclosure, action) of the terms that reveal a value. docs: (text) of all documents; around: contexts()."""
-    here = around.select("value", F.xxhash64("left", "right").alias("ctx"), F.explode(F.array_distinct(F.transform(words_of(F.concat_ws(" ", "left", "right")), _term))).alias("term")).where("term <> ''")
-    joint = here.groupBy("value", "term").agg(F.count_distinct("ctx").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
-    values = around.groupBy("value").agg(F.count_distinct("left", "right").alias("n_value"))
-    joint = scratch.keep(joint.join(values, "value"), "joint")
+def disclosures(docs: DataFrame, pairs: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
+    """(value, term, disclosure, action) of the terms that reveal a value.
+
+    docs: (text) of all documents; pairs: (key, value, term), values: (key, value) of each text with values.
+    """
+    joint = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
+    joint = scratch.keep(joint.join(values.groupBy("value").agg(F.count("*").alias("n_value")), "value"), "joint")
     wanted = scratch.keep(joint.select("term").distinct(), "wanted")
     # document counts of all terms, combined before the shuffle, and only then of those that are wanted: the rows of the
     # join grow with the wanted terms, not with how often they occur
-    terms = docs.select(F.explode_outer(F.array_distinct(F.transform(words_of(text_of()), _term))).alias("term"))
+    terms = docs.select(F.explode_outer(F.array_distinct(F.transform(words_of(_plain(text_of())), _term))).alias("term"))
     n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")  # inner: a semi join would be pushed below the counts
     n = docs.agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n"))
     ic = F.log(F.col("n") / F.least(F.col("n_value").cast("double"), F.col("n") - 1))
@@ -130,31 +149,31 @@ def disclosures(docs: DataFrame, around: DataFrame, scratch: Scratch) -> DataFra
     return out.where(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
-def _side(side: str, flagged: DataFrame) -> DataFrame:
-    """Places of flagged terms in one side of the contexts."""
-    w, p = "_w", "_p"
-    df = flagged.select("row", "term", "action", F.col(side).alias("c"), F.col(f"{side}_at").alias("at"))
-    pieces, hits = _pieces(F.col("c"), WORD)
-    df = df.withColumns({w: once(hits), p: once(pieces)}).withColumn("x", F.explode(_located(F.col(w), F.col(p))))
-    v = F.col("x.value")
-    lead = F.length(v) - F.length(F.regexp_replace(v, r"^[\p{Punct}]+", ""))
-    bare = F.regexp_replace(v, r"^[\p{Punct}]+|[\p{Punct}]+$", "")
-    start = F.col("at") + F.col("x.start") + lead
-    return df.where(_term(v) == F.col("term")).select("row", start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("stop"), bare.alias("value"), "action")
-
-
 def term_spans(docs: DataFrame, scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, extra): the spans of revealing terms of each row that has some. docs: the corpus; scanned: scan() of it."""
-    around = scratch.keep(contexts(scanned), "contexts")
-    told = scratch.keep(disclosures(docs, around, scratch), "told")
-    met = around.join(told, "value")
-    found = _side("left", met).unionByName(_side("right", met)).groupBy("row", "start", "stop").agg(F.max("action").alias("action"), F.first("value").alias("value"))
+    """(key, salt, extra): the spans of revealing terms of each text that has some, once for each salt. docs: the corpus; scanned: scan() of it."""
+    texts = scratch.keep(scanned.where("held IS NOT NULL").select("key", "held", "base").dropDuplicates(["key"]), "texts")
+    values = scratch.keep(texts.select("key", F.explode(F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))).alias("value")), "values")
+    found = scratch.keep(places(texts), "places")
+    pairs = scratch.keep(values.join(found.select("key", "term").distinct(), "key"), "pairs")
+    told = scratch.keep(disclosures(docs, pairs, values, scratch), "told")
+    # by value and term, so that a value of many documents meets only the terms that each of them holds
+    met = pairs.join(told, ["value", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("term_"), "action").alias("kind"), "stop", "value")
-    return scratch.keep(found.groupBy("row").agg(F.sort_array(F.collect_list(span)).cast(SPANS).alias("extra")), "extra")  # within one document's contexts
+    extra = found.join(met, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(span)).cast(SPANS).alias("extra"))  # within one document
+    return scratch.keep(extra.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "extra"), "extra")
+
+
+def text_key() -> Column:
+    """A key of a text; copies share it and have equal spans."""
+    return F.xxhash64(text_of())
+
+
+def _salt(row: str) -> Column:
+    return F.pmod(F.col(row), F.lit(SALTS)).cast("int")
 
 
 def row_key() -> Column:
-    """A key of a row's content; equal rows share it and have equal spans."""
+    """A key of a row's content; equal rows share it."""
     return F.xxhash64(F.col("doc_id"), text_of())
 
 
@@ -167,7 +186,7 @@ def find(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs), "scanned")
     extra = term_spans(docs, scanned, scratch)
-    return scanned.join(extra, "row", "left").select("doc_id", "base", F.coalesce("extra", F.array().cast(SPANS)).alias("extra"))
+    return scanned.withColumn("salt", _salt("row")).join(extra, ["key", "salt"], "left").select("doc_id", "base", F.coalesce("extra", F.array().cast(SPANS)).alias("extra"))
 
 
 def as_text(spans: Column) -> Column:
@@ -182,9 +201,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs).where("size(base) > 0"), "scanned")
-    extra = term_spans(docs, scanned, scratch).select(F.col("row").alias("_pii_row"), F.col("extra").alias("_pii_extra"))
-    df = with_base_spans(docs.withColumns({"_pii_text": text_of(), "_pii_key": row_key()}), "_pii_text", "_pii_base")
-    df = df.join(extra, F.col("_pii_key") == F.col("_pii_row"), "left")
+    extra = term_spans(docs, scanned, scratch).select(F.col("key").alias("_pii_of"), F.col("salt").alias("_pii_part"), F.col("extra").alias("_pii_extra"))
+    df = with_base_spans(docs.withColumns({"_pii_text": text_of(), "_pii_key": text_key(), "_pii_row": row_key()}), "_pii_text", "_pii_base")
+    df = df.join(extra, (F.col("_pii_key") == F.col("_pii_of")) & (_salt("_pii_row") == F.col("_pii_part")), "left")
     df = df.withColumn("_pii_all", once(F.sort_array(F.concat("_pii_base", F.coalesce("_pii_extra", F.array().cast(SPANS))))))
     mark = lambda x: F.when(x["kind"] == "term_remove", "").when(x["kind"] == "term_generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))

@@ -178,6 +178,18 @@ def test_pii_disclosure(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in same if r["text"]) == [(0, "<EMAIL> and <EMAIL>")] and len(same) == 3
 
 
+def test_pii_far_terms(spark):
+    """A term anywhere in the documents of a value, before or after it, and the words that touch a value."""
+    rng = random.Random(11)
+    texts = [f"Zorbulon {prose(rng, 40)} <1.2.3.{i % 9}> ann.lee@example.com, é \uffff {prose(rng, 40)} (Zorbulon)" for i in range(12)] + [prose(rng, 40) + " é \uffff" for _ in range(400)]
+    docs = docs_of(spark, texts)
+    for r in pii.find(docs).collect():
+        t = texts[r["doc_id"]]
+        assert [t[s.start : s.stop] for s in r["extra"]] == (["Zorbulon"] * 2 if r["doc_id"] < 12 else [])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(("Zorbulon" in x) is False for x in clean.values()) and clean[20] == texts[20]
+
+
 def test_secrets(spark, odd):
     rng = random.Random(12)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))

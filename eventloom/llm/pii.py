@@ -1,8 +1,9 @@
 """Personal data: base patterns, and terms that corpus co-occurrence shows to reveal a protected value. DataFrame functions only.
 
 Disclosure of value e by term t is PMI(e; t) / IC(e): 1 when t stands in no document without e, 0 when they are
-independent. IC(e) = -ln p(e). Document counts of terms cover the whole corpus; joint counts are of distinct texts that
-hold both, at any distance.
+independent. IC(e) = -ln p(e). All counts are of distinct texts of the whole corpus, so that copies count once; joint
+counts are of those that hold both, at any distance. With p(e | t) in place of counts, PMI is ln(p(e | t) / p(e)); of
+p(e | t) the lower end of its Wilson interval is taken, so that few texts show less and no value is left unjudged.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ PATTERNS = {
 #: What a text must hold for its kind to be looked for at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9][\x200-9-]{11}", "phone": r"\+[0-9]"}
 MASK = "\uffff"  # stands for the code points of values; no character
-MIN_TEXTS = 3  # distinct texts that a term and a value must share
+Z = 1.645  # standard deviations down from the share of a term's texts that hold a value: its lower bound at 95 %
 SALTS = 8  # parts that the copies of one text are dealt to
 GENERALISE, REMOVE = 0.8, 0.95  # disclosure from which a term is generalised, removed
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int,value:string>>"
@@ -130,13 +131,20 @@ def places(texts: DataFrame) -> DataFrame:
     return df.select("key", "start", (F.col("start") + F.length("value")).alias("stop"), "value", F.lower("value").alias("term"))
 
 
+def _at_least(k: Column, n: Column) -> Column:
+    """The lower end of the Wilson interval of a share of which k of n were seen."""
+    p, z2 = k / n, Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def disclosures(docs: DataFrame, pairs: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
     """(value, term, disclosure, action) of the terms that reveal a value.
 
     docs: (text) of all documents; pairs: (key, value, term), values: (key, value) of each text with values.
     """
-    joint = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
+    joint = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both"))
     joint = scratch.keep(joint.join(values.groupBy("value").agg(F.count("*").alias("n_value")), "value"), "joint")
+    docs = docs.select(text_of().alias("text")).distinct()
     wanted = scratch.keep(joint.select("term").distinct(), "wanted")
     # document counts of all terms, combined before the shuffle, and only then of those that are wanted: the rows of the
     # join grow with the wanted terms, not with how often they occur
@@ -144,7 +152,8 @@ def disclosures(docs: DataFrame, pairs: DataFrame, values: DataFrame, scratch: S
     n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")  # inner: a semi join would be pushed below the counts
     n = docs.agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n"))
     ic = F.log(F.col("n") / F.least(F.col("n_value").cast("double"), F.col("n") - 1))
-    pmi = F.log(F.col("n_both") * F.col("n") / (F.col("n_value").cast("double") * F.greatest("n_term", "n_both")))
+    share = _at_least(F.col("n_both").cast("double"), F.greatest("n_term", "n_both").cast("double"))
+    pmi = F.log(F.greatest(share, F.lit(1e-12)) * F.col("n") / F.col("n_value").cast("double"))
     out = joint.join(n_term, "term").join(F.broadcast(n)).withColumn("disclosure", F.least(F.lit(1.0), pmi / F.greatest(ic, F.lit(1e-9))))  # n is one row
     return out.where(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 

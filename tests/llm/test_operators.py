@@ -190,6 +190,16 @@ def test_pii_far_terms(spark):
     assert all(("Zorbulon" in x) is False for x in clean.values()) and clean[20] == texts[20]
 
 
+def test_pii_rare_values_and_copies(spark):
+    """A value of one document is judged; copies neither hide a term nor count as documents."""
+    rng = random.Random(13)
+    lone = f"Quuxley {prose(rng, 30)} bob@example.com {prose(rng, 30)}"
+    some = [f"{prose(rng, 20)} Zorbulon {prose(rng, 20)} ann.lee@example.com" for _ in range(4)]
+    texts = [lone, *some, *[some[0]] * 300, *[prose(rng, 40) for _ in range(2500)]]
+    rows = {r["doc_id"]: [texts[r["doc_id"]][s.start : s.stop] for s in r["extra"]] for r in pii.find(docs_of(spark, texts)).collect()}
+    assert rows[0] == ["Quuxley"] and all(rows[i] == ["Zorbulon"] for i in range(1, 305)) and not any(rows[i] for i in range(305, len(texts)))
+
+
 def test_secrets(spark, odd):
     rng = random.Random(12)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))

@@ -243,10 +243,11 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def apply_dictionary(docs: DataFrame, dictionary: DataFrame, max_words: int = 3) -> DataFrame:
-    """ADP-22. (doc_id, term, n): dictionary(term) terms of up to max_words words in docs(doc_id, text), as whole words in lower case."""
+def apply_dictionary(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """ADP-22. (doc_id, term, n): dictionary(term) terms of any number of words in docs(doc_id, text), as whole words in lower case."""
+    sizes = sorted(r["n"] for r in dictionary.select(F.size(_words(F.col("term"))).alias("n")).where("n > 0").distinct().collect())  # a few lengths
     w = docs.select("doc_id", once(_words(F.col("text"))).alias("w"))
-    grams = w.select("doc_id", F.explode(F.concat(*[ngrams(F.col("w"), n) for n in range(1, max_words + 1)])).alias("term"))
+    grams = w.select("doc_id", F.explode(F.concat(*[ngrams(F.col("w"), n) for n in sizes or [1]])).alias("term"))
     return grams.join(dictionary.select(F.lower("term").alias("term")).distinct(), "term").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -268,11 +269,11 @@ def patch_taxonomy(entities: DataFrame, patch: DataFrame, defined: list[str]) ->
     return met.withColumn("type", F.coalesce("to", "type")).drop("to", "hit").withColumn("unknown", ~F.col("type").isin(*defined))
 
 
-def artifact_lineage(inputs: DataFrame, max_depth: int = 50) -> DataFrame:
-    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input)."""
+def artifact_lineage(inputs: DataFrame) -> DataFrame:
+    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input), to the last ancestor; cycles end by themselves."""
     edges = inputs.select(F.col("artifact").alias("src"), F.col("input").alias("dst"))
     seeds = inputs.select(F.col("artifact").alias("seed")).distinct()
-    return components.k_hop(edges, seeds, max_depth, directed=True).where("distance > 0").select(F.col("seed").alias("artifact"), F.col("node").alias("ancestor"), "distance")
+    return components.k_hop(edges, seeds, None, directed=True).where("distance > 0").select(F.col("seed").alias("artifact"), F.col("node").alias("ancestor"), "distance")
 
 
 def artifact_rollup(artifacts: DataFrame, cols: list[str]) -> DataFrame:

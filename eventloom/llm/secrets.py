@@ -2,7 +2,9 @@
 
 Both models are of order 2 over the characters of credentials. Labelled samples come from the corpus itself: values
 that a base pattern finds are random strings; all other runs of those characters are ordinary identifiers and words.
-Long runs with letters and digits that no base pattern finds are the candidates; they have no label and train neither.
+Runs that no base pattern finds and that may be random by their shape (see _unlabelled) have no label and train neither;
+nor do runs that touch a base match. Every run of 8 or more, less the base spans in it, is a candidate; the evidence
+alone decides.
 Transitions are counted over all documents; the tables have a fixed size.
 """
 
@@ -19,7 +21,8 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+HEAD, TAIL = re.compile(r"\A[A-Za-z0-9+/_=-]+"), re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]+\Z")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(CHARS) + 1  # and one for the start of a string
@@ -70,21 +73,29 @@ class Models:
             p = (part + PRIOR * p) / (part.sum(-1, keepdims=True) + PRIOR)
         return np.maximum(p, 1e-12).ravel()
 
-    def llr(self, s: str) -> float:
-        return float(self.ratio[transitions([s.encode("ascii", "replace")])].sum())
+    def llrs(self, strings: list[str]) -> np.ndarray:
+        """One ratio for each string; all their characters are credential characters."""
+        ends = np.cumsum([len(s) for s in strings])
+        return np.add.reduceat(self.ratio[transitions([s.encode("ascii") for s in strings])], np.concatenate(([0], ends[:-1])))
 
 
 def mixed(s: str) -> bool:
     return re.search("[0-9]", s) is not None and re.search("[A-Za-z]", s) is not None
 
 
+def _unlabelled(s: str) -> bool:
+    """Letters and digits in 20 characters, or in 8 without a separator; or case that goes up twice inside."""
+    return mixed(s) and (len(s) >= 20 or not re.search("[_=/+-]", s)) or len(re.findall("[a-z][A-Z]", s)) > 1
+
+
 def _mask(t: str, spans) -> str:
     out, at = [], 0
     for start, _, _, end, _ in spans:
         if end > at:
-            out.append(t[at : max(at, start)])
+            part = TAIL.sub("", t[at : max(at, start)])
+            out.append(HEAD.sub("", part) if at else part)
             at = end
-    return RUN.sub(lambda m: "\n" if mixed(m[0]) else m[0], "\n".join([*out, t[at:]]))
+    return RUN.sub(lambda m: "\n" if _unlabelled(m[0]) else m[0], "\n".join([*out, HEAD.sub("", t[at:]) if at else t]))
 
 
 def train(docs: DataFrame) -> Models:
@@ -115,21 +126,24 @@ def train(docs: DataFrame) -> Models:
     return Models(counts[0], counts[1])
 
 
-def found_by(models: Models, t: str, base) -> list[tuple[int, int, str, int, int]]:
-    """Runs outside the base spans, with letters and digits, that the random model likes better."""
-    out = []
-    for m in RUN.finditer(t):
-        s = m[0]
-        if any(b[0] < m.end() and m.start() < b[3] for b in base):
-            continue
-        if not mixed(s):
-            continue
-        x = models.llr(s)
-        if x >= MIN_EVIDENCE and x >= MIN_LLR * len(s):
-            out.append((m.start(), 3, "random", m.end(), m.start()))
+def _outside(t: str, base) -> list[tuple[int, int]]:
+    """(start, end) of the runs of t, with the base spans cut out of them."""
+    out, at = [], 0
+    for start, end in [*((b[0], b[3]) for b in base), (len(t), len(t))]:
+        out += [m.span() for m in RUN.finditer(t, at, max(at, start))]
+        at = max(at, end)
     return out
 
 
+def found_by(models: Models, t: str, base) -> list[tuple[int, int, str, int, int]]:
+    """Runs outside the base spans that the random model likes better."""
+    runs = _outside(t, base)
+    if not runs:
+        return []
+    each = models.llrs([t[s:e] for s, e in runs])
+    return [(s, 3, "random", e, s) for (s, e), x in zip(runs, each.tolist(), strict=True) if x >= MIN_EVIDENCE and x >= MIN_LLR * (e - s)]
+
+
 def scan(docs: DataFrame, models: Models | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs' keep columns (default: doc_id) with base and extra: arrays of (start, kind, stop, value), sorted; code points, end exclusive.
 

@@ -214,6 +214,19 @@ def test_secrets(spark, odd):
     assert secrets.scan(docs_of(spark, ["x"]).where("doc_id < 0")).count() == 0
 
 
+def test_secrets_of_any_shape(spark):
+    """Short random strings, letter-only ones and what stands beside a base match in one run are scored too."""
+    rng = random.Random(14)
+    rand = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(chars) for _ in range(n))
+    letters = rand(30, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    piece = rand(24, "GHIJKLMNOPQRSTUVWXYZ") + "_"
+    odd = ["use k9Qz7Lw2Xv4Tb8Rm1 here", f"use {letters} here", f"use {piece}{rand(24, '0123456789abcdef')} here"]
+    texts = [prose(rng, 60) + f" secret={rand(30)} internationalization configuration 239040950064896" for _ in range(300)] + odd
+    got = {r["doc_id"]: [s.value for s in r["extra"]] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert [got[300 + i] for i in range(3)] == [["k9Qz7Lw2Xv4Tb8Rm1"], [letters], [piece]]
+    assert not any(got[i] for i in range(300))
+
+
 def test_quality(spark, odd):
     rng = random.Random(13)
     texts = list(odd) + [prose(rng, rng.randrange(30, 200)) for _ in range(60)] + [" ".join(w.upper() + "!!" for w in prose(rng, 100).split()) for _ in range(4)] + [(prose(rng, 9) + "\n") * 12, prose(rng, 30) + " " + prose(rng, 8) * 2]

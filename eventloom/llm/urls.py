@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii
 from .components import components
+from .warc import ENTITIES
 
 #: (verdict, rule): host, then path from its slash.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']([^\"'>]*)[\"']"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'>\s]+)"
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""  # in quotes of either kind, or bare
+CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref" + _VALUE
+REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent" + _VALUE
+REFRESH_URL = r"""(?is)\burl\s*=\s*("[^"]*|'[^']*|\S+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -51,15 +54,36 @@ def canonical_form(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("//"), host, path))
 
 
+def _value(c: Column) -> Column:
+    """An attribute's value without its quotes, entities decoded."""
+    c = F.regexp_replace(c, r"""^["']|["']$""", "")
+    for name, to in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(to))
+    return F.trim(c)
+
+
+def _resolved(url: Column, target: Column) -> Column:
+    """target as an address, relative ones against url; null if url has no host to resolve against."""
+    scheme, host, path = F.substring_index(url, "://", 1), host_of(url), path_of(url)
+    root = F.when(host != "", F.concat(scheme, F.lit("://"), host))
+    bare = F.substring_index(F.substring_index(target, "#", 1), "?", 1)
+    tail = F.substr(target, F.length(bare) + 1)
+    whole = F.when(bare.startswith("/"), bare).when(bare == "", path).otherwise(F.concat(F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", ""), bare))
+    parts = F.split(F.regexp_replace(F.regexp_replace(whole, r"^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    at = F.when(whole == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(F.concat(root, at, tail))
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of <link rel=canonical> and <meta http-equiv=refresh> in html; a target that starts with / is on the same host."""
-    hits = F.array_distinct(F.concat(
-        F.when(F.contains(F.lower("html"), F.lit("canonical")), F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(1))).otherwise(F.array().cast("array<string>")),
-        F.when(F.contains(F.lower("html"), F.lit("refresh")), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1))).otherwise(F.array().cast("array<string>"))))
-    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(hits).alias("t"))
-    scheme = F.substring_index("url", "://", 1)
-    t = F.when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("t"))).otherwise(F.col("t"))
-    return found.select("url", t.alias("target")).where("target <> ''")
+    """(url, target) of <link rel=canonical> and <meta http-equiv=refresh> in html; relative targets are resolved against url."""
+    none = F.array().cast("array<string>")
+    there = lambda word, pattern: F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).otherwise(none)
+    refresh = F.transform(there("refresh", REFRESH), lambda x: _value(F.regexp_extract(_value(x), REFRESH_URL, 1)))
+    hits = F.array_distinct(F.concat(F.transform(there("canonical", CANONICAL), _value), refresh))
+    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(hits).alias("t")).where("t <> ''")
+    return found.select("url", _resolved(F.col("url"), F.col("t")).alias("target")).where("target <> ''")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:

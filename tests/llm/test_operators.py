@@ -303,6 +303,14 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(spark.createDataFrame([(1, "https://z.net/")], "page_id long, url string"), more).collect()} == {"block"}
 
 
+def test_url_links(spark):
+    base = "https://r.net/a/b/c.html?x"
+    rows = [("<link rel=canonical href=https://k.com/de/1>", "https://k.com/de/1"), ("<meta http-equiv=refresh content=0;url=https://k.com/de/1>", "https://k.com/de/1"), ("<meta http-equiv=refresh content=\"0;url='https://k.com/de/2'\">", "https://k.com/de/2"),
+            ("<link rel=canonical href='page.html'>", "https://r.net/a/b/page.html"), ("<link rel=canonical href='../x?p=1&amp;q=2'>", "https://r.net/a/x?p=1&q=2"), ("<link rel=canonical href='?y'>", "https://r.net/a/b/c.html?y"), ("<link rel=canonical href='//z.net/1'>", "https://z.net/1"), ("<link rel=canonical href='/4'>", "https://r.net/4")]
+    got = urls.html_links(spark.createDataFrame([(base, h) for h, _ in rows], "url string, html string").coalesce(1)).collect()
+    assert sorted(r["target"] for r in got) == sorted(t for _, t in rows)
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title>A &amp; B</title><script>var x = "<p>";</script></head><body><!-- no --><p>Hi&nbsp;there<br>you &lt;3</p>\n\n<div>End</div></body></html>'
     df = spark.createDataFrame([(1, "http://a/1", html), (2, None, None), (None, "http://a/3", "")], "page_id long, url string, html string")

@@ -58,6 +58,19 @@ class Scratch:
             fs.delete(p, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or one made from it that none of taken has in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def once(c: Column) -> Column:
     """c, evaluated once a row where it stands: the optimizer neither copies it into lambdas or filters that use it nor
     pushes those below it. The condition always holds; an expression with a row counter in it may not be duplicated."""

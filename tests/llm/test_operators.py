@@ -127,7 +127,7 @@ def test_bpe(spark, odd):
     path = queries.tokenizer_path()
     lib = Tokenizer.from_file(path)
     rng = random.Random(8)
-    texts = list(odd) + ["<|endoftext|>a<|endoftext|><|endoftext|> b", "日本語 🙂🙂 ñandú", " " * 50, "----====" * 30] + ["".join(rng.choice("abcdeéß語🙂 \n'.-0123ABC") for _ in range(rng.randrange(1, 120))) for _ in range(200)]
+    texts = list(odd) + ["<|endoftext|>a<|endoftext|><|endoftext|> b", "日本語 🙂🙂 ñandú", "a  b   c\n d \n\n  e\u00a0 f \u3000 g ", "  two", "a \t", "x\x1c \x85 y", " " * 50, "----====" * 30] + ["".join(rng.choice("abcdeéß語🙂 \n'.-0123ABC") for _ in range(rng.randrange(1, 120))) for _ in range(200)]
     df = docs_of(spark, texts)
     ids = {r["doc_id"]: list(r["ids"]) for r in bpe.tokenise(df, path, ["doc_id"]).collect()}
     want = {i: e.ids for i, e in enumerate(lib.encode_batch([t or "" for t in texts], add_special_tokens=False))}
@@ -138,13 +138,22 @@ def test_bpe(spark, odd):
         x = want[r["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(x), brute.sha(",".join(map(str, x))), brute.sha(lib.decode(x, skip_special_tokens=False)))
     # verification accepts exactly the right proposals
-    v = bpe.load(open(path, encoding="utf-8").read())
+    with open(path, encoding="utf-8") as f:
+        v = bpe.load(f.read()).v
     import numpy as np
 
     for p in {p for t in texts for p in bpe.Encoder(v).pieces((t or "")[:4000])} - set(v.special):
         g = np.array(v.greedy(p.encode()))
         assert bool(v.compatible(g[:-1], g[1:]).all()) == (g.tolist() == v.exact(p.encode()))
     assert bpe.digests(df.where("doc_id < 0"), path, ["doc_id"]).count() == 0
+    # extra columns of any name stay, ids is replaced
+    every = bpe.tokenise(clashing(df).withColumns({"ids": F.lit("x"), "c d": F.lit(2)}), path)
+    assert every.columns == [*clashing(df).columns, "c d", "ids"] and {r["doc_id"]: list(r["ids"]) for r in every.collect()} == want
+    with open(path, encoding="utf-8") as f:
+        other = json.load(f)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.refuse_others(other)
 
 
 def test_pii(spark, odd):

@@ -144,13 +144,13 @@ def disclosures(docs: DataFrame, pairs: DataFrame, values: DataFrame, scratch: S
     """
     joint = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both"))
     joint = scratch.keep(joint.join(values.groupBy("value").agg(F.count("*").alias("n_value")), "value"), "joint")
-    docs = docs.select(text_of().alias("text")).distinct()
+    distinct = docs.select(text_of().alias("text")).distinct()
     wanted = scratch.keep(joint.select("term").distinct(), "wanted")
     # document counts of all terms, combined before the shuffle, and only then of those that are wanted: the rows of the
     # join grow with the wanted terms, not with how often they occur
-    terms = docs.select(F.explode_outer(F.array_distinct(F.transform(words_of(_plain(text_of())), _term))).alias("term"))
+    terms = distinct.select(F.explode_outer(F.array_distinct(F.transform(words_of(_plain(text_of())), _term))).alias("term"))
     n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")  # inner: a semi join would be pushed below the counts
-    n = docs.agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n"))
+    n = docs.select(text_key().alias("key")).distinct().agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n"))  # by keys: whole texts are shuffled once, above
     ic = F.log(F.col("n") / F.least(F.col("n_value").cast("double"), F.col("n") - 1))
     share = _at_least(F.col("n_both").cast("double"), F.greatest("n_term", "n_both").cast("double"))
     pmi = F.log(F.greatest(share, F.lit(1e-12)) * F.col("n") / F.col("n_value").cast("double"))
@@ -169,12 +169,14 @@ def term_spans(docs: DataFrame, scanned: DataFrame, scratch: Scratch) -> DataFra
     met = pairs.join(told, ["value", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("term_"), "action").alias("kind"), "stop", "value")
     extra = found.join(met, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(span)).cast(SPANS).alias("extra"))  # within one document
-    return scratch.keep(extra.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "extra"), "extra")
+    kept = scratch.keep(extra.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "extra"), "extra")
+    scratch.drop("texts", "values", "places", "pairs", "joint", "wanted", "told")
+    return kept
 
 
 def text_key() -> Column:
-    """A key of a text; copies share it and have equal spans."""
-    return F.xxhash64(text_of())
+    """A key of a text, of 128 bits; copies share it and have equal spans."""
+    return F.md5(text_of().cast("binary"))
 
 
 def _salt(row: str) -> Column:
@@ -182,7 +184,7 @@ def _salt(row: str) -> Column:
 
 
 def row_key() -> Column:
-    """A key of a row's content; equal rows share it."""
+    """A number of a row's content, to deal copies of a text to parts."""
     return F.xxhash64(F.col("doc_id"), text_of())
 
 

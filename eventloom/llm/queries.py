@@ -76,29 +76,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _UUID = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 
 
+#: References that the given pages hold, decoded after all markup is gone; & comes last.
+_REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&amp", "&")]
+_END_SQL = r"([\x20\t\r\n\f/][^>]*)?(>|\z)"
+
+
+def _decoded(c: str) -> str:
+    for name, to in _REFERENCES:
+        c = f"replace({c}, '{name}', '{to.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def _shown(c: str) -> str:
+    hidden = "|".join(rf"<{n}([\x20\t\r\n\f/][^>]*)?(>.*?(</{n}{_END_SQL}|\z)|\z)" for n in warc.HIDDEN)
+    return f"regexp_replace({c}, '(?is)<!--.*?(-->|\\z)|{hidden}', ' ', 'g')"
+
+
 def _plain(c: str) -> str:
-    steps = [
-        (r"(?s)<!--.*?-->", "' '"), (r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>", "' '"),
-        (r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre)\b[^>]*>", "chr(10)"), ("<[^>]*>", "''"),
-    ]
-    for pattern, to in steps:
+    for pattern, to in [(rf"(?i)</?({warc.LINES}){_END_SQL}", "chr(10)"), (r"<[A-Za-z/!?][^>]*(>|\z)", "''")]:
         c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
-    for name, to in warc.ENTITIES:
-        c = f"replace({c}, '{name}', '{to.replace(chr(39), chr(39) * 2)}')"
-    for pattern, to in [(r"[\x20\x09\x0D]+", "' '"), (r" ?\n[\n ]*", "chr(10)"), (r"^[\n ]+|[\n ]+$", "''")]:
+    c = _decoded(c)
+    for pattern, to in [(r"[\x20\x09\x0D\x{A0}]+", "' '"), (r" ?\n[\n ]*", "chr(10)"), (r"^[\n ]+|[\n ]+$", "''")]:
         c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
     return c
 
 
+def _title(c: str) -> str:
+    inner = f"regexp_extract({c}, '(?is)<title([\\x20\\t\\r\\n\\f/][^>]*)?(>(.*?)(</title{_END_SQL}|\\z)|\\z)', 3)"
+    return "trim(regexp_replace(" + _decoded(f"regexp_replace({inner}, '<[A-Za-z/!?][^>]*(>|\\z)', '', 'g')") + ", '[\\s]+', ' ', 'g'))"
+
+
 OP1_SQL = f"""
 WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS payload, md5('response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || coalesce(url, '')) AS h FROM pages
 ), r AS (
   SELECT page_id, url AS target_uri, payload, {_UUID.format(h="h")} AS record_id, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(payload) AS VARCHAR) AS head FROM p
+), g AS (
+  SELECT *, {_shown("payload")} AS shown FROM r
 ), t AS (
-  SELECT *, {_plain("payload")} AS body, 'sha256:' || sha256(payload) AS source_digest,
-         regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g') AS title,
-         md5('metadata' || chr(10) || record_id) AS mh, md5('conversion' || chr(10) || record_id) AS ch FROM r
+  SELECT * EXCLUDE shown, {_plain("shown")} AS body, 'sha256:' || sha256(payload) AS source_digest, {_title("shown")} AS title,
+         md5('metadata' || chr(10) || record_id) AS mh, md5('conversion' || chr(10) || record_id) AS ch FROM g
 ), u AS (
   SELECT *, {_UUID.format(h="mh")} AS mid, {_UUID.format(h="ch")} AS cid,
          'source-status: 200' || chr(13) || chr(10) || 'source-content-type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-length: ' || CAST(strlen(payload) AS VARCHAR) || chr(13) || chr(10)

@@ -305,7 +305,8 @@ def test_urls(spark):
     assert what(1) == ("sub.example.org", "/es/a", "example.org/es/", "block") and what(2) == ("example.org", "/en/12", "example.org/en/1", "block")
     assert what(3) == ("a.org", "", None, "allow") and what(4) == ("a.org", "/", "org/", "allow") and what(5) == ("", "", None, "allow") and what(6) == ("", "", None, "allow")
     assert what(7)[2:] == ("com/fr/", "allow") and what(8)[2:] == ("com/de/", "block") and what(9)[2] is None
-    assert [got[i]["verdict"] for i in (10, 11, 12, 13, 14)] == ["block", "block", "block", "allow", "allow"]
+    assert [got[i]["verdict"] for i in (10, 11, 12, 13, 14)] == ["block", "allow", "block", "allow", "allow"]
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df, same_form=True).collect()}[11] == "block"
     assert [got[i]["verdict"] for i in (15, 16)] == ["allow", "allow"]  # one alias is explicitly allowed
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
     more = spark.createDataFrame([("https://z.net/", "https://k.com/de/7"), (None, "x")], "url string, target string")
@@ -320,6 +321,84 @@ def test_url_links(spark):
     assert sorted(r["target"] for r in got) == sorted(t for _, t in rows)
 
 
+def test_url_aliases(spark):
+    """A planted set of redirects, canonical and refresh links, against union-find in plain Python."""
+    rng = random.Random(17)
+    n = 400
+    page = lambda i: f"https://h{i}.{rng.choice(['example.org/es', 'com/fr', 'com/de', 'net/x', 'net/y', 'net/z'])}/{i}"
+    all_urls = [page(i) for i in range(n)]
+    links = [(rng.randrange(n), rng.randrange(n)) for _ in range(260)]
+    html, moved = [""] * n, []
+    for k, (a, b) in enumerate(links):
+        if k % 3 == 0:
+            moved.append((all_urls[a].upper().split("/")[0].lower() + "//" + all_urls[a].split("//")[1] + "#part", all_urls[b]))
+        else:
+            html[a] += f'<link rel="canonical" href="{all_urls[b]}">' if k % 3 == 1 else f"<meta http-equiv=Refresh content='3; URL={all_urls[b]}'>"
+    top = brute.components(range(n), links)
+    rule = {i: "block" if "example.org/es/" in u or ".com/de/" in u else "allow" if ".com/fr/" in u or "example.org" in u else None for i, u in enumerate(all_urls)}
+    want = {}
+    for i in range(n):
+        group = {rule[j] for j in range(n) if top[j] == top[i]}
+        want[i] = rule[i] or ("allow" if "allow" in group else "block" if "block" in group else "allow")
+    got = urls.judge(spark.createDataFrame(list(zip(range(n), all_urls, html, strict=True)), "page_id long, url string, html string"), spark.createDataFrame(moved, "url string, target string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == want and sum(r["decided_by"] == "alias" for r in got) > 50
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component"], set()).add(top[r["page_id"]])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(top.values()))
+
+
+def test_broken_markup_takes_linear_time(spark):
+    import time
+
+    for bad in ("<!--", "<script>", "<script ", "<link ", "<link rel=canonical ", "<title", "<title>", "<p ", "</script ", "<", "&#", "&", '<meta content="'):
+        page = bad * (1_000_000 // len(bad))
+        t = time.time()
+        warc.text_and_title(page)
+        assert time.time() - t < 2, bad
+    pages = spark.createDataFrame([(i, f"https://r.net/{i}", b * (1_000_000 // len(b))) for i, b in enumerate(("<link ", "<link rel=canonical ", "<meta http-equiv=refresh ", '<link href="', "<meta \n", "refresh<link rel  "))], "page_id long, url string, html string")
+    urls.html_links(pages.limit(1)).count()
+    t = time.time()
+    assert urls.html_links(pages).count() == 0 and time.time() - t < 12
+
+
+def test_html_text():
+    read = lambda x: warc.text_and_title(x)
+    assert read("<template><script>a</script>HIDDEN</template>b")[0] == "b"
+    assert read("<style>x</script>y</style>z<scripty>w</scripty>") == ("zw", "")
+    assert read("<TITLE>caf&#233; &eacute;&#x1F642;</TITLE ><p>1 < 2 &amp;amp; 3</p>&notin; a&nbsp;&nbsp;b") == ("café é🙂\n1 < 2 &amp; 3\n∉ a b", "café é🙂")
+    assert read("a<!-- b")[0] == "a" and read("a<script>b")[0] == "a" and read("a<b c")[0] == "a" and read("") == ("", "")
+
+
+def test_warc_responses(spark, tmp_path):
+    """Records are cut by length: blocks that hold version lines and blank lines, packed bodies, other record types, gzip members."""
+    import gzip
+
+    def record(kind, i, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: https://a.org/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = lambda body, more="": f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1{more}\r\n\r\n".encode() + body
+    bodies = ["<p>plain caf\xe9".encode("latin-1"), b"WARC/1.1\r\nWARC-Type: response\r\n\r\nWARC/1.0\r\n in a block\r\n\r\n", b"", b"last"]
+    rows = [record("warcinfo", 0, b"x: WARC/1.0\r\n"), *[record("response", i + 1, http(b)) for i, b in enumerate(bodies)], record("request", 9, b"GET / HTTP/1.1\r\n\r\n"), record("response", 10, http(gzip.compress(b"packed"), "\r\nContent-Encoding: gzip"))]
+    (tmp_path / "plain.warc").write_bytes(b"".join(rows))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in rows))
+    (tmp_path / "short.warc").write_bytes(record("response", 20, http(b"cut off here"))[:-12])
+    got = warc.read_responses(spark, str(tmp_path)).collect()
+    want = [(f"<urn:{i + 1}>", b.decode("latin-1"), True) for i, b in enumerate(bodies)] + [("<urn:10>", "packed", True)]
+    assert sorted((r["record_id"], r["payload"], r["intact"]) for r in got) == sorted([*want, *want, ("<urn:20>", "cut ", False)])
+    assert warc.derive(warc.read_responses(spark, str(tmp_path / "plain.warc"))).where("source_content_type = 'text/html; charset=latin-1'").count() == 10
+
+
+def test_warc_names(spark):
+    """Extra columns of any name stay; those named like a record's field come back as source_<name>."""
+    names = ["title", "status", "ctype", "bytes", "text", "meta", "mid", "cid", "r", "read", "kept", "block", "source_block", "refers_to", "source_status"]
+    df = warc.responses(spark.createDataFrame([(1, "http://a/1", "<p>x")], "page_id long, url string, html string"))
+    got = warc.derive(df.withColumns({c: F.lit(c) for c in names}))
+    row = got.where("warc_type = 'conversion'").first().asDict()
+    assert len(got.columns) == len(set(got.columns)) and row["block"] == "x" and all(row[c] == c for c in names if c not in ("block", "refers_to", "source_status"))
+    assert row["_source_block"] == "block" and row["source_refers_to"] == "refers_to" and row["source_source_status"] == "source_status"
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title>A &amp; B</title><script>var x = "<p>";</script></head><body><!-- no --><p>Hi&nbsp;there<br>you &lt;3</p>\n\n<div>End</div></body></html>'
     df = spark.createDataFrame([(1, "http://a/1", html), (2, None, None), (None, "http://a/3", "")], "page_id long, url string, html string")
@@ -331,7 +410,7 @@ def test_warc(spark, tmp_path):
     resp = next(r for r in found.collect() if r["source_id"] == 1)
     assert conv["block"] == "A & B\nHi there\nyou <3\nEnd" and conv["block_digest"] == "sha256:" + brute.sha(conv["block"])
     assert conv["refers_to"] == meta["refers_to"] == resp["record_id"] and meta["concurrent_to"] == conv["record_id"] and conv["payload_digest"] == "sha256:" + brute.sha(html)
-    assert conv["source_headers"] == resp["http_headers"] and conv["source_status"] == "200" and "title: A &amp; B" in meta["block"]
+    assert conv["source_headers"] == resp["http_headers"] and conv["source_status"] == "200" and "title: A & B" in meta["block"]
     warc.write_warc(warc.derive(found), str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w")).collect()
     assert all(r["intact"] for r in back) and {(r["record_id"], r["block"]) for r in back} == {(r["record_id"], r["block"]) for r in rows}

@@ -16,7 +16,7 @@ from .common import Scratch, lower_ascii, once, text_of, words_of
 K = 128
 SIZE = 5
 COARSE = 64  # quantiles of doc_id; between two of them ids are dealt evenly
-ROWS_PER_BUCKET = 8000
+BUCKET_BYTES = 16 << 20  # of text in a bucket, about; a task takes one or a few buckets
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, size: int = SIZE) -> DataFrame:
@@ -55,43 +55,60 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.hex(x)), ",")
 
 
+def _order() -> list[Column]:
+    """Ascending doc_id, nulls first; rows of one id by a hash of their text, so that they can be dealt to buckets in order."""
+    return [F.col("doc_id").asc_nulls_first(), F.col("_h").asc(), F.col("text").asc()]
+
+
 def _bucket_of(docs: DataFrame) -> tuple[Column, int]:
-    """A non-decreasing bucket number of doc_id and the number of buckets: quantiles of the ids, and even parts between them."""
-    ids = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 1000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    parts = max(1, -(-ids["n"] // (ROWS_PER_BUCKET * COARSE)))
-    if not ids["q"]:
-        return F.lit(0).cast("long"), 1
-    edges = sorted({ids["lo"], *ids["q"]})
-    at = F.lit(0)
-    for e in edges[1:]:
-        at = at + (F.col("doc_id") >= e).cast("int")
-    lo = F.element_at(F.array(*[F.lit(int(e)) for e in edges]), at + 1)
-    wide = F.element_at(F.array(*[F.lit(int(b - a)) for a, b in zip(edges, [*edges[1:], edges[-1] + 1], strict=True)]), at + 1)
-    within = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - lo).cast("double") / F.greatest(wide, F.lit(1)) * parts))
-    return F.coalesce(at.cast("long") * parts + F.greatest(F.lit(0), within), F.lit(0)).cast("long"), len(edges) * parts
+    """A bucket number that does not decrease in _order(), and the number of buckets.
+
+    Ids are cut at quantiles and each part between two of them evenly, as finely as its bytes ask. An id that fills two
+    quantiles, and null, are parts of their own, cut by the hash of the text: no id makes a bucket grow.
+    """
+    size = F.sum(F.octet_length("text").cast("long") + 64)
+    seen = docs.agg(size.alias("bytes"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text").cast("long") + 64)).alias("unnamed"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 1000).alias("q"), F.max("doc_id").alias("hi")).first()
+    q = list(seen["q"] or [])
+    cut = lambda share: max(1, -(-int(share) // BUCKET_BYTES))  # noqa: E731  buckets for so many bytes
+    by_hash = lambda n: F.least(F.lit(n - 1), F.floor((F.col("_h").cast("double") + 2.0**63) / 2.0**64 * n)).cast("long")
+    parts = cut(seen["unnamed"] or 0)
+    at, n = by_hash(parts), parts
+    each = ((seen["bytes"] or 0) - (seen["unnamed"] or 0)) / COARSE
+    if q:
+        edges = sorted({*q, seen["hi"] + 1})
+        hot = {e for e in edges if q.count(e) > 1}
+        edges = sorted({*edges, *(e + 1 for e in hot)})
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            parts = cut(each * max(1, q.count(lo)))
+            place = by_hash(parts) if lo in hot else F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - F.lit(lo)).cast("double") / (hi - lo) * parts)).cast("long")
+            # below the least quantile there may be ids as well: they belong to the first part
+            at = F.when(F.col("doc_id") >= lo, F.lit(n) + F.greatest(F.lit(0).cast("long"), place)).otherwise(at) if lo != edges[0] else F.when(F.col("doc_id").isNotNull(), F.lit(n) + F.greatest(F.lit(0).cast("long"), place)).otherwise(at)
+            n += parts
+    return at.cast("long"), n
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with the given columns of the next row by ascending (doc_id, text), nulls first, as next_<column>; after the last comes the first.
+    """docs with the given columns of the next row in _order(), as next_<column>; after the last comes the first.
 
-    Rows are dealt to buckets of near ids. Each bucket also gets, as a guest, the first row of the bucket after it
-    (the last: of the first one), so one shuffle is enough and no row waits for another bucket.
+    Rows are dealt to buckets that follow each other. Each bucket also gets, as a guest, the first row of the bucket
+    after it (the last: of the first one), so one shuffle is enough and no row waits for another bucket. The number of
+    buckets and of tasks grows with the bytes of text.
     """
     scratch = Scratch(docs.sparkSession)
-    bucket, _ = _bucket_of(docs)
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    bucket, n = _bucket_of(docs)
     docs = docs.withColumn("_b", bucket)
-    heads = docs.groupBy("_b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id")).alias("m")).select("_b", F.col("m.doc_id").alias("head"))
+    heads = docs.groupBy("_b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "_h")).alias("m")).select("_b", F.col("m.doc_id").alias("head"), F.col("m._h").alias("head_h"))
     before = F.lag("_b").over(Window.orderBy("_b"))
     last = F.max("_b").over(Window.partitionBy())
-    heads = heads.select("_b", "head", F.coalesce(before, last).alias("to"), before.isNull().alias("around"))
-    heads = scratch.keep(heads.select(F.col("_b").alias("hb"), "head", "to", "around"), "heads")
-    met = docs.join(heads, (F.col("_b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    heads = scratch.keep(heads.select(F.col("_b").alias("hb"), "head", "head_h", F.coalesce(before, last).alias("to")), "heads")  # one row a bucket
+    met = docs.join(heads, (F.col("_b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("_h") == F.col("head_h")), "left")
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("to").alias("b"), F.lit(1).alias("guest"))
     met = met.withColumn("_at", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select(*docs.columns, "_at.*")
-    order = Window.partitionBy("b").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    out = met.withColumn("_n", F.lead(F.struct(*columns)).over(order)).where("guest = 0")
-    return out.select(*[c for c in docs.columns if c != "_b"], *[F.col("_n")[c].alias(f"next_{c}") for c in columns])
+    # two copies of a bucket's first row are two guests, of which the first is met; they are equal
+    out = met.repartition(n, "b").withColumn("_n", F.lead(F.struct(*columns)).over(Window.partitionBy("b").orderBy("guest", *_order()))).where("guest = 0")
+    return out.select(*[c for c in docs.columns if c not in ("_b", "_h")], *[F.col("_n")[c].alias(f"next_{c}") for c in columns])
 
 
 def fingerprints(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
@@ -99,7 +116,7 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. Null texts are empty; empty texts have the empty fingerprint, alike (1.0) to another empty one. Of rows
-    with equal doc_id the order is by text; rows without doc_id come first. A single document is its own next. An empty
+    with equal doc_id the order is by a hash of the text, then by text; rows without doc_id come first. Very long texts are read whole. A single document is its own next. An empty
     table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))

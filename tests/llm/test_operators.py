@@ -262,12 +262,12 @@ def test_fingerprints(spark, odd):
     rng = random.Random(14)
     texts = [t or "" for t in odd] + [prose(rng, rng.randrange(1, 200)) for _ in range(80)]
     ids = [7 * i + (i % 5) for i in range(len(texts))]
-    monkey = fingerprints.ROWS_PER_BUCKET
-    fingerprints.ROWS_PER_BUCKET = 1
+    monkey = fingerprints.BUCKET_BYTES
+    fingerprints.BUCKET_BYTES = 6000
     try:
         got = {r["doc_id"]: r for r in fingerprints.fingerprints(clashing(docs_of(spark, [*odd, *texts[len(odd) :]], ids)).repartition(5)).collect()}
     finally:
-        fingerprints.ROWS_PER_BUCKET = monkey
+        fingerprints.BUCKET_BYTES = monkey
     ed = brute.edited(texts)
     jac = lambda a, b: 1.0 if not (a | b) else len(a & b) / len(a | b)
     for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
@@ -285,6 +285,23 @@ def test_fingerprints(spark, odd):
     assert fingerprints.fingerprints(docs_of(spark, ["x"]).where("doc_id < 0")).count() == 0
 
 
+def test_next_rows(spark, monkeypatch):
+    """Every row meets the one after it, in small buckets and in large ones, with one id on a third of the rows and null on more."""
+    from pyspark.sql.window import Window
+
+    rng = random.Random(18)
+    rows = [(rng.choice([None, 5, rng.randrange(-50, 50), rng.randrange(10**12)]), f"t{rng.randrange(150)}") for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    plain = [r["text"] for r in df.withColumn("i", F.row_number().over(order)).orderBy("i").collect()]
+    ids = [r["doc_id"] for r in df.orderBy(F.col("doc_id").asc_nulls_first()).collect()]
+    want = sorted(zip([(i is not None, i or 0) for i in ids], plain, [*plain[1:], plain[0]], strict=True))
+    for size in (700, 3000, 1 << 24):
+        monkeypatch.setattr(fingerprints, "BUCKET_BYTES", size)
+        got = fingerprints.with_next(df, ["text"]).collect()
+        assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["text"], r["next_text"]) for r in got) == want, size
+
+
 def test_sketches_merge(spark):
     rng = random.Random(15)
     a, b = prose(rng, 900), prose(rng, 900)

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, n_words_of, text_of
 
 HASH_DIGITS = 15  # hexadecimal digits of the md5 used: 60 bits
-LEVEL_DIGITS = 4  # a histogram has 16 ** LEVEL_DIGITS buckets a source at most
-LEVELS = 3  # histograms, each inside the boundary bucket of the one before
+LEVEL_DIGITS = 3  # a histogram has 16 ** LEVEL_DIGITS buckets a source at most
+LEVELS = 4  # histograms, each inside the boundary bucket of the one before
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:

@@ -218,8 +218,10 @@ def entitled(plans: DataFrame, principals: DataFrame) -> DataFrame:
     free = need.where("n <= 0").select("plan_id", "min_plan")
     held = principals.select("principal", "plan", F.explode(F.array_distinct("actions")).alias("action"))
     ok = need.join(held, "action").groupBy("plan_id", "principal", "min_plan", "plan", "n").agg(F.count("*").alias("have")).where("have = n").select("plan_id", "principal", "min_plan", "plan")
-    open_ = principals.select("principal", "plan", F.lit(1).alias("one")).join(free.withColumn("one", F.lit(1)), "one").select("plan_id", "principal", "min_plan", "plan")
-    return ok.unionByName(open_).where(rank(F.col("plan")) >= rank(F.col("min_plan"))).select("plan_id", "principal")
+    # plans without actions are met by the plans up to the principal's own: an equi join
+    upto = F.slice(F.array(*[F.lit(p) for p in PLANS]), 1, F.coalesce(rank(F.col("plan")), F.lit(0)).cast("int"))
+    open_ = principals.select("principal", F.explode(upto).alias("min_plan")).join(free, "min_plan").select("plan_id", "principal")
+    return ok.where(rank(F.col("plan")) >= rank(F.col("min_plan"))).select("plan_id", "principal").unionByName(open_)
 
 
 def semver(c: Column) -> Column:
@@ -269,11 +271,16 @@ def patch_taxonomy(entities: DataFrame, patch: DataFrame, defined: list[str]) ->
     return met.withColumn("type", F.coalesce("to", "type")).drop("to", "hit").withColumn("unknown", ~F.col("type").isin(*defined))
 
 
-def artifact_lineage(inputs: DataFrame) -> DataFrame:
-    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input), to the last ancestor; cycles end by themselves."""
+def artifact_lineage(inputs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input), to the last ancestor; cycles end by themselves.
+
+    With runs(artifact, run_id, metric, value), the supporting runs of artifacts, a row for each metric of each run that
+    supports the ancestor, or one with nulls.
+    """
     edges = inputs.select(F.col("artifact").alias("src"), F.col("input").alias("dst"))
     seeds = inputs.select(F.col("artifact").alias("seed")).distinct()
-    return components.k_hop(edges, seeds, None, directed=True).where("distance > 0").select(F.col("seed").alias("artifact"), F.col("node").alias("ancestor"), "distance")
+    found = components.k_hop(edges, seeds, None, directed=True).where("distance > 0").select(F.col("seed").alias("artifact"), F.col("node").alias("ancestor"), "distance")
+    return found if runs is None else found.join(runs.select(F.col("artifact").alias("ancestor"), "run_id", "metric", "value"), "ancestor", "left").select("artifact", "ancestor", "distance", "run_id", "metric", "value")
 
 
 def artifact_rollup(artifacts: DataFrame, cols: list[str]) -> DataFrame:
@@ -287,12 +294,18 @@ def split_datasets(programs: DataFrame, docs: DataFrame) -> DataFrame:
     return d.join(docs.select("doc_id", "dataset"), "dataset").select("program", "split", "doc_id")
 
 
-def program_runs(programs: DataFrame) -> DataFrame:
-    """ADP-29. Runs flattened: by program, number, mean seconds, and a column for each decision."""
+def flat_runs(programs: DataFrame) -> DataFrame:
+    """ADP-29. A row for each run of programs(id, runs array of run_id, status, decision, started_at, finished_at): (id, run_id, status, decision, seconds)."""
     r = programs.select("id", F.explode("runs").alias("r")).select("id", "r.*")
-    took = F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")
-    by = r.groupBy("id").agg(F.count("*").alias("n"), F.avg(took).alias("mean_s"))
-    return by.join(r.groupBy("id").pivot("decision", ["promote", "hold", "rollback", "none"]).count().na.fill(0), "id")
+    return r.select("id", "run_id", "status", "decision", (F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")).alias("seconds"))
+
+
+def program_runs(programs: DataFrame) -> DataFrame:
+    """ADP-29. By program: runs, mean seconds, and a column for each decision and each status, in one aggregate."""
+    count = lambda c, x, name: F.count_if(F.col(c) == x).alias(name)
+    decisions = [count("decision", x, x) for x in ("promote", "hold", "rollback", "none")]
+    statuses = [count("status", x, f"n_{x}") for x in ("queued", "running", "completed", "failed")]
+    return flat_runs(programs).groupBy("id").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"), *decisions, *statuses)
 
 
 def plan_objective_met(deltas: DataFrame, plans: DataFrame) -> DataFrame:

@@ -50,9 +50,13 @@ def provenance_gate(runs: DataFrame, keys: tuple[str, ...] = ("git", "images", "
     return runs.withColumn("allowed", F.coalesce(good, F.lit(False)))
 
 
-def capture_provenance(events: DataFrame) -> DataFrame:
-    """QES-06. Of (run_id, topic, partition, offset, schema_version): offsets and versions seen, one row a run, topic and partition."""
-    return events.groupBy("run_id", "topic", "partition").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count("*").alias("n"), F.array_sort(F.collect_set("schema_version")).alias("schema_versions"))
+def capture_provenance(events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """QES-06. Of (run_id, topic, partition, offset, schema_version): offsets and versions seen, one row a run, topic and partition.
+
+    With runs(run_id, pipelines map), each row has its run's pipelines; null for a run that is not there.
+    """
+    seen = events.groupBy("run_id", "topic", "partition").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count("*").alias("n"), F.array_sort(F.collect_set("schema_version")).alias("schema_versions"))
+    return seen if runs is None else seen.join(runs.select("run_id", "pipelines"), "run_id", "left")
 
 
 def diff_artifacts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -93,6 +97,19 @@ def pipeline_versions(runs: DataFrame, names: list[str]) -> DataFrame:
     return runs.select("run_id", F.explode("pipelines").alias("name", "version")).groupBy("run_id").pivot("name", names).agg(F.first("version"))
 
 
+def version_changes(runs: DataFrame) -> DataFrame:
+    """QES-11. Of runs(run_id, scenario, started_at, pipelines map): (scenario, name, run_id, before, version) where a pipeline's version differs from that of the scenario's run before it that has the pipeline."""
+    each = runs.select("scenario", "run_id", "started_at", F.explode("pipelines").alias("name", "version"))
+    before = F.lag("version").over(Window.partitionBy("scenario", "name").orderBy("started_at", "run_id"))
+    return each.withColumn("before", before).where("before IS NOT NULL AND NOT before <=> version").select("scenario", "name", "run_id", "before", "version")
+
+
+def run_duration(runs: DataFrame) -> DataFrame:
+    """QES-12. (run_id, status, seconds) of each run: from start to finish, null while it is running or a time is missing."""
+    took = F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")
+    return runs.select("run_id", "status", F.when(F.col("status") != "running", took).alias("seconds"))
+
+
 def run_durations(runs: DataFrame, as_of: str, limit_s: int) -> DataFrame:
     """QES-12. By status: runs, mean seconds of the finished ones, and runs still open limit_s after their start."""
     took = F.when(F.col("status") != "running", F.unix_timestamp("finished_at") - F.unix_timestamp("started_at"))
@@ -100,6 +117,6 @@ def run_durations(runs: DataFrame, as_of: str, limit_s: int) -> DataFrame:
     return runs.groupBy("status").agg(F.count("*").alias("n"), F.avg(took).alias("mean_s"), F.max(took).alias("max_s"), F.count_if(late).alias("n_late"))
 
 
-def canonical_hash(*parts: Column) -> Column:
-    """sha256 of a canonical text of the parts."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256)
+def runspec_hash(**fields: Column) -> Column:
+    """QES-10. sha256 of a run spec's canonical text: name=value lines by name, nulls left out."""
+    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{n}="), fields[n].cast("string")) for n in sorted(fields)]).cast("binary"), 256)

@@ -45,6 +45,12 @@ def run_rollup(results: DataFrame) -> DataFrame:
     return r.groupBy("batch").agg(F.coalesce(F.max_by("c", F.when(F.col("c") != 0, F.col("position"))), F.lit(0)).alias("exit_code"), F.count_if(F.col("c") == 0).alias("n_ok"), F.count_if(F.col("c") != 0).alias("n_failed"))
 
 
+def inventory_rows(manifest: DataFrame, lock: DataFrame) -> DataFrame:
+    """WSP-06. (name, role, rev, license, capabilities) of each repository: the locked revision or null, the license hint or unknown, its capabilities sorted."""
+    met = manifest.join(lock.select("name", "rev"), "name", "left")
+    return met.select("name", "role", "rev", F.coalesce("license", F.lit("unknown")).alias("license"), F.sort_array(F.array_distinct("capabilities")).alias("capabilities"))
+
+
 def inventory_report(manifest: DataFrame, lock: DataFrame) -> DataFrame:
     """WSP-06. Repositories by role and license hint, with how many are locked and their distinct capabilities."""
     met = manifest.join(lock.select("name", F.col("rev").alias("locked")), "name", "left")

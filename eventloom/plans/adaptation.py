@@ -130,7 +130,7 @@ def adp11_metric_constraints(spark, sf_dir):
 
 def _topics(spark, sf_dir, method="lda"):
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs, ad.fit_topics(docs, method, k=4, vocab=500, rounds=4)
+    return docs, ad.fit_topics(docs, method, k=4)
 
 
 @query()
@@ -145,6 +145,12 @@ def adp13_topics_lsa(spark, sf_dir):
     return ad.topic_membership(vectors, axes, "lsa_cosine").withColumn("membership", F.round("membership", 4))
 
 
+@query()
+def adp12_13_topics_lsi(spark, sf_dir):
+    _, (vectors, _, axes) = _topics(spark, sf_dir, "lsi")
+    return ad.topic_membership(vectors, axes, "lsi_cosine").withColumn("membership", F.round("membership", 4))
+
+
 @query()
 def adp14_topic_signature(spark, sf_dir):
     docs, (vectors, words, model) = _topics(spark, sf_dir)
@@ -255,6 +261,14 @@ def adp26_artifact_lineage(spark, sf_dir):
     return ad.artifact_lineage(v.edges(spark, sf_dir).select(F.col("dst").alias("artifact"), F.col("src").alias("input")))
 
 
+@query("""WITH l AS (SELECT 's' || s_suppkey AS artifact, 'n' || s_nationkey AS ancestor, 1 AS distance FROM supplier UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation),
+  m AS (SELECT 'n' || c_nationkey AS ancestor, 'run-' || c_custkey AS run_id, 'balance' AS metric, c_acctbal AS value FROM customer WHERE c_custkey % 20 = 0)
+  SELECT l.*, run_id, metric, value FROM l LEFT JOIN m USING (ancestor)""")
+def adp26_lineage_metrics(spark, sf_dir):
+    runs = v.table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("artifact"), F.concat(F.lit("run-"), F.col("c_custkey")).alias("run_id"), F.lit("balance").alias("metric"), F.col("c_acctbal").alias("value"))
+    return ad.artifact_lineage(v.edges(spark, sf_dir).select(F.col("dst").alias("artifact"), F.col("src").alias("input")), runs)
+
+
 @query(f"SELECT p_brand, status, count(*) AS n, CAST(grouping(p_brand, status) AS BIGINT) AS level FROM ({ARTIFACTS}) GROUP BY CUBE (p_brand, status)")
 def adp27_artifact_rollup(spark, sf_dir):
     return ad.artifact_rollup(_artifacts(spark, sf_dir), ["p_brand", "status"])
@@ -266,12 +280,20 @@ def adp28_split_datasets(spark, sf_dir):
     return ad.split_datasets(programs, v.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dataset")))
 
 
-@query("SELECT 'p' || (o_custkey % 50) AS id, count(*) AS n, round(avg((o_orderkey % 90) * 60.0), 6) AS mean_s, count(*) FILTER (WHERE o_orderstatus = 'F') AS promote, count(*) FILTER (WHERE o_orderstatus = 'O') AS hold, count(*) FILTER (WHERE o_orderstatus = 'P') AS rollback, CAST(0 AS BIGINT) AS none FROM orders GROUP BY 1")
+@query("SELECT 'p' || (o_custkey % 50) AS id, count(*) AS n, round(avg((o_orderkey % 90) * 60.0), 6) AS mean_s, count(*) FILTER (WHERE o_orderstatus = 'F') AS promote, count(*) FILTER (WHERE o_orderstatus = 'O') AS hold, count(*) FILTER (WHERE o_orderstatus = 'P') AS rollback, CAST(0 AS BIGINT) AS none, CAST(0 AS BIGINT) AS n_queued, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_running, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_completed, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_failed FROM orders GROUP BY 1")
 def adp29_program_runs(spark, sf_dir):
+    return ad.program_runs(_programs(spark, sf_dir)).withColumn("mean_s", F.round("mean_s", 6))
+
+
+def _programs(spark, sf_dir):
     r = v.runs(spark, sf_dir)
     decision = F.when(F.col("status") == "completed", "promote").when(F.col("status") == "running", "hold").otherwise("rollback")
-    programs = r.select(F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("id"), F.array(F.struct("started_at", "finished_at", decision.alias("decision"))).alias("runs"))
-    return ad.program_runs(programs).withColumn("mean_s", F.round("mean_s", 6))
+    return r.select(F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("id"), F.array(F.struct("run_id", "status", "started_at", "finished_at", decision.alias("decision"))).alias("runs"))
+
+
+@query("SELECT 'p' || (o_custkey % 50) AS id, 'run-' || o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, CASE o_orderstatus WHEN 'F' THEN 'promote' WHEN 'O' THEN 'hold' ELSE 'rollback' END AS decision, CAST((o_orderkey % 90) * 60 AS BIGINT) AS seconds FROM orders")
+def adp29_flat_runs(spark, sf_dir):
+    return ad.flat_runs(_programs(spark, sf_dir))
 
 
 @query(f"SELECT 'plan' || program AS plan_id, round(delta, 3) AS gain, coalesce(delta >= 100.0, false) AS met FROM ({DELTA}) WHERE metric = 'price.mean.F'")

@@ -227,6 +227,16 @@ def qes06_capture_provenance(spark, sf_dir):
     return evaluate.capture_provenance(_offsets(spark, sf_dir)).withColumn("schema_versions", F.array_join("schema_versions", ","))
 
 
+@query("""WITH e AS (SELECT 'run-' || (user_id % 7) AS run_id, event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition, min(event_id) AS first_offset, max(event_id) AS last_offset FROM events GROUP BY 1, 2, 3)
+  SELECT e.*, CASE WHEN o_orderkey IS NOT NULL THEN 'group=' || o_orderstatus || ',ingest=v' || (o_orderkey % 3) END AS pipelines FROM e LEFT JOIN orders ON e.run_id = 'run-' || o_orderkey""")
+def qes06_pipeline_provenance(spark, sf_dir):
+    m = F.create_map(F.lit("ingest"), F.concat(F.lit("v"), F.col("o_orderkey") % 3), F.lit("group"), F.col("o_orderstatus"))
+    runs = v.table(spark, sf_dir, "orders").select(F.concat(F.lit("run-"), F.col("o_orderkey")).alias("run_id"), m.alias("pipelines"))
+    out = evaluate.capture_provenance(_offsets(spark, sf_dir), runs)
+    names = F.array_sort(F.transform(F.map_entries("pipelines"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+    return out.select("run_id", "topic", "partition", "first_offset", "last_offset", F.when(F.col("pipelines").isNotNull(), F.array_join(names, ",")).alias("pipelines"))
+
+
 @query("""WITH l AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 10 <> 0), r AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'B' ELSE p_brand END AS p_brand, CASE WHEN p_partkey % 6 = 0 THEN -1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 9 <> 0)
   SELECT * FROM (SELECT coalesce(l.p_partkey, r.p_partkey) AS p_partkey, CASE WHEN l.p_partkey IS NULL THEN 'added' WHEN r.p_partkey IS NULL THEN 'removed' WHEN l.p_brand <> r.p_brand OR l.p_size <> r.p_size THEN 'changed' END AS change,
   CASE WHEN l.p_brand <> r.p_brand AND l.p_size <> r.p_size THEN 'p_brand,p_size' WHEN l.p_brand <> r.p_brand THEN 'p_brand' WHEN l.p_size <> r.p_size THEN 'p_size' END AS columns FROM l FULL OUTER JOIN r ON l.p_partkey = r.p_partkey) WHERE change IS NOT NULL""")
@@ -259,6 +269,13 @@ def qes10_fingerprint(spark, sf_dir):
     return evaluate.fingerprint(li, ["l_linenumber", "l_partkey"], ["run_id", F.col("l_linestatus").alias("artifact")])
 
 
+@query("SELECT 'run-' || o_orderkey AS run_id, sha256('dataset=d' || (o_custkey % 3) || chr(10) || CASE WHEN o_orderkey % 4 > 0 THEN 'mode=' || o_orderstatus || chr(10) ELSE '' END || 'scenario=' || o_orderpriority) AS spec_hash FROM orders")
+def qes10_runspec_hash(spark, sf_dir):
+    o = v.table(spark, sf_dir, "orders")
+    spec = evaluate.runspec_hash(scenario=F.col("o_orderpriority"), mode=F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus")), dataset=F.concat(F.lit("d"), F.col("o_custkey") % 3))
+    return o.select(F.concat(F.lit("run-"), F.col("o_orderkey")).alias("run_id"), spec.alias("spec_hash"))
+
+
 @query("SELECT 'run-' || o_orderkey AS run_id, 'v' || (o_orderkey % 3) AS ingest, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS group_ FROM orders")
 def qes11_pipeline_versions(spark, sf_dir):
     m = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("ingest"), F.concat(F.lit("v"), F.col("o_orderkey") % 3), F.lit("group_"), F.col("o_orderstatus"))).otherwise(F.create_map(F.lit("ingest"), F.concat(F.lit("v"), F.col("o_orderkey") % 3)))
@@ -268,3 +285,16 @@ def qes11_pipeline_versions(spark, sf_dir):
 @query(f"""SELECT status, count(*) AS n, round(avg(CASE WHEN status <> 'running' THEN (o_orderkey % 90) * 60 END), 6) AS mean_s, CAST(max(CASE WHEN status <> 'running' THEN (o_orderkey % 90) * 60 END) AS DOUBLE) AS max_s, count(*) FILTER (WHERE status = 'running' AND started_at < TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 3600 SECOND) AS n_late FROM ({v.RUNS}) GROUP BY status""")
 def qes12_run_durations(spark, sf_dir):
     return evaluate.run_durations(v.runs(spark, sf_dir), "2001-01-01 00:00:00", 3600).withColumns({"mean_s": F.round("mean_s", 6), "max_s": F.col("max_s").cast("double")})
+
+
+@query(f"SELECT run_id, status, CASE WHEN status <> 'running' THEN CAST((o_orderkey % 90) * 60 AS BIGINT) END AS seconds FROM ({v.RUNS})")
+def qes12_run_duration(spark, sf_dir):
+    return evaluate.run_duration(v.runs(spark, sf_dir))
+
+
+@query(f"""WITH p AS (SELECT scenario, run_id, started_at, 'ingest' AS name, 'v' || (o_orderkey % 3) AS version FROM ({v.RUNS}) UNION ALL SELECT scenario, run_id, started_at, 'rank', status FROM ({v.RUNS}) WHERE o_orderkey % 2 = 0),
+  b AS (SELECT *, lag(version) OVER (PARTITION BY scenario, name ORDER BY started_at, run_id) AS before FROM p) SELECT scenario, name, run_id, before, version FROM b WHERE before <> version""")
+def qes11_version_changes(spark, sf_dir):
+    ingest = F.concat(F.lit("v"), F.col("o_orderkey") % 3)
+    m = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("ingest"), ingest, F.lit("rank"), F.col("status"))).otherwise(F.create_map(F.lit("ingest"), ingest))
+    return evaluate.version_changes(v.runs(spark, sf_dir).withColumn("pipelines", m))

@@ -37,6 +37,8 @@ def _folder(spark):
 
 def _events(spark, sf_dir):
     static = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if not static.inputFiles()[0].endswith("/events.parquet"):  # a folder of part files is a stream by itself
+        return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     # one file is a stream of one file: pathGlobFilter leaves the folder's other tables out
     s = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("at", F.col("ts").cast("timestamp"))
@@ -94,10 +96,15 @@ def str08_recent(spark, sf_dir):
     return streams.run_to_table(streams.stream_recent(s, 20), _folder(spark), "update").select("user", F.array_join("queries", ",").alias("queries"))
 
 
-@query("SELECT count(*) AS on_time, CAST(0 AS BIGINT) AS late FROM events")
+@query(f"WITH e AS (SELECT ts, event_id % 10 = 0 AS again FROM events), m AS (SELECT max(ts) AS top FROM e WHERE NOT again) SELECT count(*) FILTER (WHERE NOT (again AND ts < top - INTERVAL 600 SECOND)) AS on_time, count(*) FILTER (WHERE again AND ts < top - INTERVAL 600 SECOND) AS late FROM e, m")
 def str09_late(spark, sf_dir):
-    folder = _folder(spark)
-    streams.stream_late(_events(spark, sf_dir), "at", 600, f"{folder}/good", f"{folder}/late", f"{folder}/state", f"{folder}/checkpoint")
+    """The events in two batches: a tenth of them comes after all others."""
+    folder, events = _folder(spark), v.table(spark, sf_dir, "events")
+    events = events.withColumn("at", F.col("ts").cast("timestamp"))
+    for batch in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        events.where(batch).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        streams.stream_late(s, "at", 600, f"{folder}/good", f"{folder}/late", f"{folder}/state", f"{folder}/checkpoint")
     n = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("on_time" if name == "good" else name))
     return n("good").join(F.broadcast(n("late")))  # one row each
 
@@ -151,6 +158,17 @@ def src02_read_raw(spark, sf_dir):
     return raw.select(F.get_json_object("raw", "$.log_id").alias("log_id"), F.get_json_object("raw", "$.source").alias("source"))
 
 
+@query(f"SELECT topic, source, count(*) AS n FROM (SELECT 'normalized.logs.v1' AS topic, event_type AS source FROM events UNION ALL SELECT 'dead-letter', 'events' FROM events WHERE event_type = 'error') GROUP BY 1, 2")
+def src05_write_topics(spark, sf_dir):
+    from ..sources import topics
+
+    folder = _folder(spark)
+    good = topics.encode_cloudevents(v.logs(spark, sf_dir), "normalized.logs.v1", "test", "log_id", "observed_at")
+    topics.write_topics(good.unionByName(topics.encode_cloudevents(v.alerts(spark, sf_dir), "other", "test", "alert_id", "observed_at")), f"{folder}/topics", f"{folder}/dead")
+    both = spark.read.parquet(f"{folder}/topics").unionByName(spark.read.parquet(f"{folder}/dead").withColumn("topic", F.lit("dead-letter")))
+    return both.groupBy("topic", F.get_json_object("data", "$.source").alias("source")).agg(F.count("*").alias("n"))
+
+
 @query(LOGS)
 def src06_write_artifacts(spark, sf_dir):
     from ..sources import topics

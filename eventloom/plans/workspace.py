@@ -213,6 +213,11 @@ def wsp06_inventory_report(spark, sf_dir):
     return fleet.inventory_report(_repos(spark, sf_dir), _lock(spark, sf_dir, 3))
 
 
+@query(f"SELECT name, role, CASE WHEN p_partkey % 3 > 0 THEN 'r' || CASE WHEN p_partkey % 11 = 0 THEN 3 ELSE 0 END END AS rev, coalesce(license, 'unknown') AS license, least(p_type, p_brand) || ',' || greatest(p_type, p_brand) AS capabilities FROM ({REPOS})")
+def wsp06_inventory_rows(spark, sf_dir):
+    return fleet.inventory_rows(_repos(spark, sf_dir), _lock(spark, sf_dir, 3)).withColumn("capabilities", F.array_join("capabilities", ","))
+
+
 @query("SELECT 'p' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'a,b' END AS missing FROM part WHERE p_partkey % 4 <> 0")
 def wsp07_capability_match(spark, sf_dir):
     r = _repos(spark, sf_dir)

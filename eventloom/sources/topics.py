@@ -43,6 +43,13 @@ def route_topics(df: DataFrame) -> DataFrame:
     return df.withColumn("topic", F.when(known, name).otherwise(F.lit("dead-letter")))
 
 
+def write_topics(df: DataFrame, path: str, dead_letter: str, mode: str = "append") -> None:
+    """SRC-05. Envelopes written to Parquet by topic under path, and those of unknown types to dead_letter."""
+    routed = route_topics(df)
+    routed.where("topic <> 'dead-letter'").write.mode(mode).partitionBy("topic").parquet(path)
+    routed.where("topic = 'dead-letter'").drop("topic").write.mode(mode).parquet(dead_letter)
+
+
 def write_artifacts(df: DataFrame, topic: str, path: str, mode: str = "append") -> None:
     """SRC-06. Parquet by topic and event date."""
     df.withColumns({"topic": F.lit(topic), "event_date": F.to_date(schemas.KEYS[topic][1])}).write.mode(mode).partitionBy("topic", "event_date").parquet(path)

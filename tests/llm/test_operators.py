@@ -446,20 +446,39 @@ def test_toxicity(spark):
     assert toxicity.toxicity(odd_rows, labels.limit(0)).count() == 4 and toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_learns_pairs():
-    """Neither word alone is toxic, both together are: a linear score cannot tell."""
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a != b])
+def test_toxicity_learns_pairs(toxic):
+    """Neither word alone is toxic, both together are (or only one without the other, when each alone says nothing): a linear score cannot tell."""
+    import numpy as np
+
     rng = random.Random(16)
     texts, y = [], []
-    for _ in range(1500):
+    for _ in range(3000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(" ".join(rng.sample(WORDS, 6) + ["insult"] * a + ["people"] * b))
-        y.append(int(a and b))
-    import numpy as np
-
+        y.append(float(toxic(a, b)))
     memo = {}
     ids = [toxicity.hashed_terms(t, memo) for t in texts]
-    m = toxicity.fit(ids[:1000], np.array(y[:1000]))
-    assert sum((m.score(i) >= 0.5) == bool(t) for i, t in zip(ids[1000:], y[1000:], strict=True)) >= 490
+    m = toxicity.fit([toxicity.counted(i) for i in ids[:2500]], np.array(y[:2500]), lift=1.0)
+    assert sum((m.score(i) >= 0.5) == bool(t) for i, t in zip(ids[2500:], y[2500:], strict=True)) >= 490
+
+
+def test_toxicity_score_is_the_double_sum():
+    import numpy as np
+
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(0, 40)) for _ in range(120)]
+    rows = [toxicity.counted(toxicity.hashed_terms(t, {})) for t in texts]
+    m = toxicity.fit(rows, np.array([float("alpha" in t) for t in texts]), steps=40)
+    for t in [*texts[:40], "", "unseen words only"]:
+        c = {}
+        for h in toxicity.hashed_terms(t, {}).tolist():
+            c[h] = c.get(h, 0) + 1
+        x = {m.slot[h]: (1 + np.log(n)) * m.scale[m.slot[h]] for h, n in c.items() if m.slot[h] >= 0}
+        norm = np.sqrt(sum(v * v for v in x.values())) or 1
+        x = {i: v / norm for i, v in x.items()}
+        z = m.w0 + sum(m.w[i] * v for i, v in x.items()) + sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for i in x for j in x if i < j)
+        assert m.score(toxicity.hashed_terms(t, {})) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
 def test_digest_columns(spark):

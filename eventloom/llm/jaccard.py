@@ -10,17 +10,20 @@ Method:
   n - ceil(threshold n) + 1, so only those are indexed.
 * An inverted list is kept sorted by set size and position and cut in blocks. A block states its sizes and its least
   position; pairs of blocks that cannot hold a link by size or by position are skipped whole.
-* Highly similar sets are found first by min-hash bands and verified against the smallest id of their band. Their
-  answers are derived, not computed again: sets known to be connected are never paired, and a list whose sets are all
-  connected already is skipped whole. So a group of n near copies costs about n checks, not n squared.
-* Candidates must share as many indexed shingles as a link implies before complete sets are fetched.
+* Highly similar sets are found first by min-hash bands and compared with the smallest id of their band, their head.
+  Sets known to be connected are never paired, and a list whose sets are all connected already is skipped whole. So a
+  group of n near copies costs about n checks, not n squared.
+* Candidates must share as many indexed shingles as a link implies. Of those left, heads are compared, and the answers of
+  the sets near them are derived from the heads' answers by bounds; complete sets are compared only where these leave it
+  open (see derived()).
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, each_set, mix
@@ -30,6 +33,8 @@ SKETCH_BITS = 16  # buckets of the shingle counts: a table of fixed size
 BANDS, ROWS = 4, 3
 WANTED_BITS = 20  # buckets of the filter of wanted ids: a table of fixed size
 BLOCK = 512
+HOT = 128  # pairs of one id that one task takes
+BLOCKS = 8  # blocks of one token that one task compares with the others
 
 _PROFILE = "doc_id long, n int, k1 long, k2 long, bands array<long>, bucket int, hits long"
 
@@ -264,14 +269,60 @@ def _wanted(ids: DataFrame):
     return spark.sparkContext.broadcast(flags)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b of document ids) whose whole sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, size: int, name: str) -> DataFrame:
+    """(id, items, parts), written: the whole sets of ids(id, n), where n pairs hold the id. An id of many pairs is dealt to parts."""
     sets = docs.select("doc_id", "text").mapInArrow(_sets(size, _wanted(ids)), "id long, items array<long>")
-    sets = sets.join(ids.distinct(), "id", "left_semi")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), common.alias("c")).where(den * F.col("c") >= num * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
+    return scratch.keep(sets.join(ids.select("id", F.expr(f"cast(1 + n div {HOT} as int)").alias("parts")), "id"), name)
+
+
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, c) of pairs(a, b) of ids: sizes of their sets, and of what both hold. The pairs of a hot id, and its set, are dealt to its parts."""
+    hot = sets.where("parts > 1").select("id", "parts").distinct()
+    part = lambda other, parts: F.pmod(F.xxhash64(other), F.coalesce(parts, F.lit(1))).cast("int")
+    for x, other in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(hot.select(F.col("id").alias(x), F.col("parts").alias(f"{x}_parts")), x, "left").withColumn(f"{x}_part", part(other, F.col(f"{x}_parts"))).drop(f"{x}_parts")
+    each = sets.select("id", "items", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    for x in ("a", "b"):
+        pairs = pairs.join(each.select(F.col("id").alias(x), F.col("part").alias(f"{x}_part"), F.col("items").alias(f"{x}_items")), [x, f"{x}_part"])
+    # an id that several rows bear has several sets: of them the most similar pair
+    both = pairs.select("a", "b", F.size("a_items").alias("na"), F.size("b_items").alias("nb"), F.size(F.array_intersect("a_items", "b_items")).alias("c"))
+    return both.groupBy("a", "b").agg(F.max_by(F.struct("na", "nb", "c"), F.struct(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), "c")).alias("m")).select("a", "b", "m.*")
+
+
+def _ids(*pairs: DataFrame) -> DataFrame:
+    """(id, n) of the ids in pairs(a, b), and how many pairs hold each."""
+    each = [p.select(F.explode(F.array("a", "b")).alias("id")) for p in pairs]
+    return reduce(DataFrame.unionByName, each).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _linked(num: int, den: int) -> Column:
+    return F.expr(f"{den} * c >= {num} * (na + nb - c)")
+
+
+def derived(docs: DataFrame, pairs: DataFrame, near: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what pairs(a, na, b, nb) would join if each were verified.
+
+    near(id, head, n_head, c): a set, the highly similar set it was compared with, that one's size, what both hold.
+    The answers of heads are computed; those of the sets near them follow: of head sets that share c elements, sets that
+    lack x and y of their heads' elements share c - x - y at least, and sets that hold u and v other elements share
+    c + u + v at most. Where the heads link, their components are joined and nothing is left to ask. Only pairs that
+    these bounds leave open are verified on their own sets.
+    """
+    met = pairs
+    for x in ("a", "b"):
+        met = met.join(near.select(F.col("id").alias(x), F.col("head").alias(f"h{x}"), F.col("n_head").alias(f"nh{x}"), F.col("c").alias(f"c{x}")), x, "left")
+        met = met.withColumns({f"h{x}": F.coalesce(f"h{x}", x), f"nh{x}": F.coalesce(f"nh{x}", f"n{x}"), f"c{x}": F.coalesce(f"c{x}", f"n{x}")})
+    met = scratch.keep(met, "met")
+    heads = met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).where("a < b").distinct()
+    sets = sets_of(docs, _ids(heads, pairs), scratch, size, "sets")
+    heads = scratch.keep(intersections(heads, sets), "heads")
+    known = heads.select("a", "b", F.col("c").alias("ch"), _linked(num, den).alias("joined"))
+    met = met.withColumns({"l": F.least("ha", "hb"), "r": F.greatest("ha", "hb")}).join(known.withColumnsRenamed({"a": "l", "b": "r"}), ["l", "r"])
+    need = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"
+    met = met.where("NOT joined").withColumn("sure", F.expr(f"ch - (nha - ca) - (nhb - cb) >= {need}")).withColumn("open", F.expr(f"least(na, nb, ch + (na - ca) + (nb - cb)) >= {need}"))
+    met = scratch.keep(met.where("sure OR open").select("a", "b", "sure"), "left")
+    verified = intersections(met.where("NOT sure").select("a", "b"), sets).where(_linked(num, den)).select("a", "b")
+    return known.where("joined").select("a", "b").unionByName(met.where("sure").select("a", "b")).unionByName(verified).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -279,7 +330,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
     component_id is the smallest doc_id reachable by links, itself included. Null or blank texts have an empty set and
     link with nothing. Rows with the same doc_id are one node and stay separate rows. A row without doc_id stays, with
-    its size, links with nothing and has a null component_id. Other columns are ignored. An empty table gives no rows.
+    its size, links with nothing and has a null component_id. Very long texts are whole sets. Other columns are ignored. An empty table gives no rows.
     """
     spark, (num, den) = docs.sparkSession, threshold
     scratch = Scratch(spark)
@@ -300,7 +351,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     # ids that several different sets bear are one node: link their sets' representatives
     twice = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("p"), F.max(F.struct("k1", "k2")).alias("q")).where("p <> q").select("doc_id")
     twice = rows.where("n > 0").join(twice, "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.keep(verify(docs, close, scratch, size, num, den).unionByName(twice), "links")
+    close = scratch.keep(intersections(close, sets_of(docs, _ids(close), scratch, size, "close_sets")).where(_linked(num, den)), "compared")
+    links = scratch.keep(close.select("a", "b").unionByName(twice), "links")
+    near = close.groupBy(F.col("b").alias("id")).agg(F.max_by(F.struct(F.col("a").alias("head"), F.col("na").alias("n_head"), "c"), F.struct("c", "a")).alias("m")).select("id", "m.*")
+    # of ids with several sets nothing can be derived: bounds that leave all open
+    many = scratch.keep(twice.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "many")
+    near = near.join(many, "id", "left_anti").join(many.withColumnRenamed("id", "head"), "head", "left_anti").select("id", "head", F.col("n_head").cast("long").alias("n_head"), F.col("c").cast("long").alias("c"))
+    near = scratch.keep(near.unionByName(many.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("n_head"), F.lit(-(2**40)).cast("long").alias("c"))), "near_heads")
     known = scratch.keep(components(links, scratch, "near"), "known")
 
     # the index, of all sets
@@ -312,10 +369,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     index = index.repartition("token").sortWithinPartitions("token", "shape", "node")
     lists = scratch.keep(index.mapInPandas(_lists(num, den), _LISTS), "lists")
     blocks = lists.where("no IS NOT NULL").drop("a", "na", "b", "nb")
-    mixed = blocks.groupBy("token").agg(F.min("clo").alias("x"), F.max("chi").alias("y")).where("x < y").select("token")
-    blocks = blocks.join(mixed, "token", "left_semi")
-    other = blocks.select("token", *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "token"])
-    met = blocks.join(other, "token").where(f"""
+    # a token of many blocks is dealt to parts: each takes some of its blocks, and meets all
+    mixed = blocks.groupBy("token").agg(F.min("clo").alias("x"), F.max("chi").alias("y"), F.count("*").alias("n")).where("x < y").select("token", F.expr(f"cast(1 + n div {BLOCKS} as int)").alias("parts"))
+    other = blocks.join(mixed, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "part", *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "token"])
+    blocks = blocks.join(mixed, "token").withColumn("part", F.pmod("no", "parts").cast("int")).drop("parts")
+    met = blocks.join(other, ["token", "part"]).where(f"""
         no <= no2 AND {den} * hi >= {num} * lo2 AND {den} * hi2 >= {num} * lo
         AND (greatest(hi, hi2) - greatest(0, plo2 - phi, plo - phi2)) * {num + den} >= {num} * (lo + lo2)
         AND NOT (clo = chi AND clo2 = chi2 AND clo = clo2)""")
@@ -323,9 +381,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     pairs = lists.where("a IS NOT NULL").select("a", "na", "b", "nb").unionByName(met)
     past = lambda n: f"(({num} * {n} + {den - 1}) div {den} - 1)"  # noqa: E731  shingles outside the indexed part
     least = f"({num} * (na + nb) + {num + den - 1}) div {num + den} - greatest({past('na')}, {past('nb')})"
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(f"c >= {least}").select("a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(f"c >= {least}").select("a", "na", "b", "nb")
     pairs = scratch.keep(pairs, "pairs")
-    more = scratch.keep(verify(docs, pairs, scratch, size, num, den), "more")
+    more = scratch.keep(derived(docs, pairs, near, scratch, size, num, den), "more")
     # components of components
     label = lambda c: F.coalesce(F.col(f"c_{c}"), F.col(c)).alias(c)
     for c in ("a", "b"):
@@ -333,7 +391,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     final = scratch.keep(components(more, scratch, "all"), "final").select(F.col("node").alias("comp"), F.col("component").alias("top"))
     of = nodes_of(reps, known).join(final, "comp", "left").select("k1", "k2", F.coalesce("top", "comp").alias("component_id"))
     of = scratch.keep(of, "of")
-    scratch.drop("close", "links", "lists", "pairs", "more")
+    scratch.drop("close", "compared", "many", "close_sets", "near_heads", "links", "lists", "pairs", "met", "sets", "heads", "left", "more")
     out = rows.join(of, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))

@@ -76,6 +76,37 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()} == brute.jaccard(list(enumerate(texts)))
 
 
+def test_jaccard_derives(spark, monkeypatch):
+    """Groups of near copies next to each other, at both sides of the threshold; every hot key is dealt to parts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCKS", 1)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rng = random.Random(20)
+    base, texts = prose(rng, 120).split(), []
+    for cut in (0, 8, 14, 20, 40):
+        head = [*base[: 120 - cut], *(f"z{cut}x{j}" for j in range(cut))]
+        for i in range(12):
+            v = list(head)
+            if i:
+                v[rng.randrange(120)] = f"q{cut}x{i}"
+            texts.append(" ".join(v))
+    for n in range(25):
+        v = list(base)
+        for j in range(n % 7):
+            v[(n * 17 + j * 19) % 120] = f"p{n}x{j}"
+        texts.append(" ".join(v))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs_of(spark, [texts[i] for i in order])).collect()} == brute.jaccard([(k, texts[i]) for k, i in enumerate(order)])
+    # one id with several sets
+    rows = [(k % 50, texts[i]) for k, i in enumerate(order)]
+    sets = [brute.shingles(t) for _, t in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = brute.components(range(50), links)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r[0], r[2]) for r in got} == set(want.items())
+
+
 def test_jaccard_ids(spark):
     t = prose(random.Random(1), 30)
     df = spark.createDataFrame([(4, t), (4, t), (None, t), (7, t), (7, "other words stand here for once"), (9, "Other words stand here for once")], "doc_id long, text string")

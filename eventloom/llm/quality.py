@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, once, text_of, words_of
+from .common import Scratch, once, quoted, text_of, words_of
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30  # base rules: words at least; percent of words in repeated windows at most
@@ -27,9 +27,10 @@ def _count(t: Column, chars: str) -> Column:
     return F.length(t) - F.length(F.translate(t, chars, ""))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang and base counts, classes (characters of each class) and low (lower-cased words)."""
-    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("t"), F.xxhash64(text_of()).alias("text_hash"))
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs' doc_id, lang and base counts, classes (characters of each class) and low (lower-cased words); with whole, also row, a struct of all columns."""
+    row = [F.struct(*map(quoted, docs.columns)).alias("row")] if whole else []
+    df = docs.select(*row, "doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("t"), F.xxhash64(text_of()).alias("text_hash"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # what is frequent goes first, so that the other classes are counted in what little is left
     df = df.withColumns({"w": once(words_of(F.col("t"))), "lines": once(lines), "t1": once(F.regexp_replace("t", "[a-z]+", ""))})
@@ -39,8 +40,9 @@ def features(docs: DataFrame) -> DataFrame:
     lower, space = F.length("t") - F.length("t1"), F.length("t1") - F.length("t2")
     counts = [lower, *[_count(F.col("t2"), c) for c in CLASSES[1:3]], space, *[_count(F.col("t2"), c) for c in CLASSES[4:]]]
     wide = F.length(F.regexp_replace("t2", r"[\x00-\x7F]+", ""))
+    row = ["row"] if whole else []
     df = df.select(
-        "doc_id", "lang", "text_hash", "w", F.size("w").cast("long").alias("n_words"), (F.length("t") - space).cast("long").alias("word_chars"), _count(F.col("t2"), SYMBOLS).cast("long").alias("n_symbols"),
+        *row, "doc_id", "lang", "text_hash", "w", F.size("w").cast("long").alias("n_words"), (F.length("t") - space).cast("long").alias("word_chars"), _count(F.col("t2"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", (F.size("h") > F.size(F.array_distinct("h"))).alias("again"), F.array(*counts, wide).alias("c"), F.length("t").alias("n"),
     )
     # windows that occur twice or more stand next to each other once sorted; words under them are counted once
@@ -51,7 +53,7 @@ def features(docs: DataFrame) -> DataFrame:
     gaps = F.transform("p", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("p", j + 1) - x, F.lit(WINDOW))))
     repeated = F.when(F.col("again"), F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
     rest = F.greatest(F.lit(0), F.col("n") - F.aggregate("c", F.lit(0), lambda a, x: a + x))
-    df = df.select("doc_id", "lang", "text_hash", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", once(repeated).alias("n_repeat_words"), F.concat("c", F.array(rest)).alias("classes"))
+    df = df.select(*row, "doc_id", "lang", "text_hash", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", once(repeated).alias("n_repeat_words"), F.concat("c", F.array(rest)).alias("classes"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("low", once(F.transform("w", lambda x: F.lower(x)))).drop("w")
 
@@ -83,27 +85,30 @@ def judge(docs: DataFrame) -> DataFrame:
     kept is false if a base rule fails, or if the document has MIN_FOR_CLASSES words and its character classes lie
     farther than MAX_CLASSES from the language's, or MIN_FOR_WORDS words and its common words farther than MAX_WORDS.
     A null lang is a language of its own; a language none of whose documents passes the base rules has no reference,
-    and its documents are judged by the base rules alone. Null texts have no words and fail. Repeated rows stay. An
+    and its documents are judged by the base rules alone. Null texts have no words and fail. Very long texts are counted whole. Repeated rows stay. An
     empty table gives no rows. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    feats = features(docs)
+    return _judged(docs, False)
+
+
+def _judged(docs: DataFrame, whole: bool) -> DataFrame:
+    scratch, row = Scratch(docs.sparkSession), ["row"] if whole else []
+    feats = features(docs, whole)
     common = scratch.keep(common_words(docs), "common")
     hit = feats.join(common.withColumnRenamed("lang", "l"), F.expr("lang <=> l"), "left")
     hit = hit.withColumn("found", once(F.filter("low", lambda x: F.array_contains("common", x))))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lang", "text_hash", "classes"]
     # one expression a word: a lambda over common would evaluate what stands behind found again for each word
     per = [F.coalesce(F.size("found") - F.size(F.array_remove("found", F.get("common", F.lit(i)))), F.lit(0)) for i in range(N_COMMON)]
-    rows = hit.select(*base, F.array(*per, (F.col("n_words") - F.greatest(F.size("found"), F.lit(0))).cast("int")).alias("counts"))
+    rows = hit.select(*row, *base, F.array(*per, (F.col("n_words") - F.greatest(F.size("found"), F.lit(0))).cast("int")).alias("counts"))
     rows = scratch.keep(rows, "rows")
     sums = rows.where("NOT base_failed").groupBy("lang").agg(_sums("classes", len(CLASSES) + 2).alias("class_ref"), _sums("counts", N_COMMON + 1).alias("word_ref"))
     sums = scratch.keep(sums.withColumnRenamed("lang", "l"), "sums")
     out = rows.join(sums, F.expr("lang <=> l"), "left").withColumns({"a": js_distance(F.col("classes"), F.col("class_ref")), "b": js_distance(F.col("counts"), F.col("word_ref"))})
     far = (F.col("n_words") >= MIN_FOR_CLASSES) & (F.coalesce("a", F.lit(0.0)) > MAX_CLASSES) | (F.col("n_words") >= MIN_FOR_WORDS) & (F.coalesce("b", F.lit(0.0)) > MAX_WORDS)
-    return out.select(*base[:7], (~F.col("base_failed") & ~far).alias("kept"), F.col("a").alias("class_distance"), F.col("b").alias("word_distance"), "lang", "text_hash")
+    return out.select(*row, *base[:7], (~F.col("base_failed") & ~far).alias("kept"), F.col("a").alias("class_distance"), F.col("b").alias("word_distance"), "lang", "text_hash")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, all columns as they are."""
-    gone = judge(docs).where("NOT kept").select(F.col("doc_id").alias("_quality_id"), F.col("text_hash").alias("_quality_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_quality_id")) & (F.xxhash64(text_of()) == F.col("_quality_hash")), "left_anti")
+    """The rows of docs that judge() keeps, all columns as they are. The rows go along with their counts, so that texts are not shuffled to meet their verdicts."""
+    return _judged(docs, True).where("kept").select("row.*")

@@ -20,8 +20,6 @@ Method:
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +31,7 @@ SKETCH_BITS = 16  # buckets of the shingle counts: a table of fixed size
 BANDS, ROWS = 4, 3
 WANTED_BITS = 20  # buckets of the filter of wanted ids: a table of fixed size
 BLOCK = 512
+SHORT = 16  # entries of lists that are paired together
 HOT = 128  # pairs of one id that one task takes
 BLOCKS = 8  # blocks of one token that one task compares with the others
 
@@ -157,6 +156,24 @@ def _pairs_of(x, y, num: int, den: int):
     return np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j]), np.where(xi[i] < yi[j], xn[i], yn[j]), np.where(xi[i] < yi[j], yn[j], xn[i])
 
 
+def _short_pairs(of, e, num: int, den: int) -> np.ndarray:
+    """_pairs_of() of many lists at once, none longer than SHORT: rows (a, b, na, nb) of the entries e, of being their lists' numbers in order."""
+    node, comp, shape = e
+    out = []
+    for d in range(1, SHORT):
+        i = np.flatnonzero(of[d:] == of[:-d])
+        if not len(i):
+            break
+        j = i + d
+        n, m, p, q = shape[i] >> 32, shape[j] >> 32, shape[i] & 0xFFFFFFFF, shape[j] & 0xFFFFFFFF
+        ok = (comp[i] != comp[j]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+        ok &= 1 + np.minimum(n - p - 1, m - q - 1) + np.minimum(p, q) >= _need(n, m, num, den)
+        i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+        turn = node[i] > node[j]
+        out.append(np.stack([np.where(turn, node[j], node[i]), np.where(turn, node[i], node[j]), np.where(turn, m, n), np.where(turn, n, m)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
 def _unique_pairs(a, b, na, nb):
     return np.unique(np.stack([a, b, na, nb], 1), axis=0)
 
@@ -202,7 +219,16 @@ def _lists(num: int, den: int):
             t = pdf["token"].to_numpy()
             cols = [pdf[c].to_numpy() for c in ("node", "comp", "shape")]
             cuts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            sizes = np.diff(cuts)
+            # short lists that lie in this batch as a whole are paired together; the first and the last may go on in another
+            whole = sizes <= SHORT
+            whole[[0, -1]] = False
+            if whole.any():
+                at = np.repeat(whole, sizes)
+                found = _short_pairs(np.repeat(np.arange(len(sizes)), sizes)[at], [c[at] for c in cols], num, den)
+                if len(found):
+                    pairs.append(found)
+            for lo, hi in zip(cuts[:-1][~whole].tolist(), cuts[1:][~whole].tolist(), strict=True):
                 if lo == hi:
                     continue
                 if t[lo] != token:
@@ -289,10 +315,9 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.max_by(F.struct("na", "nb", "c"), F.struct(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), "c")).alias("m")).select("a", "b", "m.*")
 
 
-def _ids(*pairs: DataFrame) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
     """(id, n) of the ids in pairs(a, b), and how many pairs hold each."""
-    each = [p.select(F.explode(F.array("a", "b")).alias("id")) for p in pairs]
-    return reduce(DataFrame.unionByName, each).groupBy("id").agg(F.count("*").alias("n"))
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 def _linked(num: int, den: int) -> Column:
@@ -314,15 +339,17 @@ def derived(docs: DataFrame, pairs: DataFrame, near: DataFrame, scratch: Scratch
         met = met.withColumns({f"h{x}": F.coalesce(f"h{x}", x), f"nh{x}": F.coalesce(f"nh{x}", f"n{x}"), f"c{x}": F.coalesce(f"c{x}", f"n{x}")})
     met = scratch.keep(met, "met")
     heads = met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).where("a < b").distinct()
-    sets = sets_of(docs, _ids(heads, pairs), scratch, size, "sets")
-    heads = scratch.keep(intersections(heads, sets), "heads")
+    heads = scratch.keep(intersections(heads, sets_of(docs, _ids(heads), scratch, size, "head_sets")), "heads")
     known = heads.select("a", "b", F.col("c").alias("ch"), _linked(num, den).alias("joined"))
     met = met.withColumns({"l": F.least("ha", "hb"), "r": F.greatest("ha", "hb")}).join(known.withColumnsRenamed({"a": "l", "b": "r"}), ["l", "r"])
     need = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"
     met = met.where("NOT joined").withColumn("sure", F.expr(f"ch - (nha - ca) - (nhb - cb) >= {need}")).withColumn("open", F.expr(f"least(na, nb, ch + (na - ca) + (nb - cb)) >= {need}"))
     met = scratch.keep(met.where("sure OR open").select("a", "b", "sure"), "left")
-    verified = intersections(met.where("NOT sure").select("a", "b"), sets).where(_linked(num, den)).select("a", "b")
-    return known.where("joined").select("a", "b").unionByName(met.where("sure").select("a", "b")).unionByName(verified).distinct()
+    found = known.where("joined").select("a", "b").unionByName(met.where("sure").select("a", "b"))
+    left = met.where("NOT sure").select("a", "b")
+    if not left.isEmpty():
+        found = found.unionByName(intersections(left, sets_of(docs, _ids(left), scratch, size, "sets")).where(_linked(num, den)).select("a", "b"))
+    return found.distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -353,7 +380,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     twice = rows.where("n > 0").join(twice, "doc_id", "left_semi").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     close = scratch.keep(intersections(close, sets_of(docs, _ids(close), scratch, size, "close_sets")).where(_linked(num, den)), "compared")
     links = scratch.keep(close.select("a", "b").unionByName(twice), "links")
-    near = close.groupBy(F.col("b").alias("id")).agg(F.max_by(F.struct(F.col("a").alias("head"), F.col("na").alias("n_head"), "c"), F.struct("c", "a")).alias("m")).select("id", "m.*")
+    near = close.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("head"), F.col("na").alias("n_head"), "c"), F.struct("a", "c")).alias("m")).select("id", "m.*")
     # of ids with several sets nothing can be derived: bounds that leave all open
     many = scratch.keep(twice.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "many")
     near = near.join(many, "id", "left_anti").join(many.withColumnRenamed("id", "head"), "head", "left_anti").select("id", "head", F.col("n_head").cast("long").alias("n_head"), F.col("c").cast("long").alias("c"))
@@ -391,7 +418,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     final = scratch.keep(components(more, scratch, "all"), "final").select(F.col("node").alias("comp"), F.col("component").alias("top"))
     of = nodes_of(reps, known).join(final, "comp", "left").select("k1", "k2", F.coalesce("top", "comp").alias("component_id"))
     of = scratch.keep(of, "of")
-    scratch.drop("close", "compared", "many", "close_sets", "near_heads", "links", "lists", "pairs", "met", "sets", "heads", "left", "more")
+    scratch.drop("close", "compared", "many", "close_sets", "near_heads", "links", "lists", "pairs", "met", "head_sets", "sets", "heads", "left", "more")
     out = rows.join(of, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))

@@ -23,7 +23,7 @@ from .common import free_name, quoted
 
 #: The pre-tokenizer's pattern of the byte-level vocabularies; a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 100_000  # pieces, and chunks, remembered by a process
+MEMO = 200_000  # pieces, and chunks, remembered by a process
 #: A chunk: white space with what follows it up to the next white space. No piece crosses into another chunk.
 _CHUNK = regex.compile(r"\s*\S+|\s+", regex.VERSION0)
 #: White space for Arrow's search; more of it than the pattern's \s only sends a text the longer way.

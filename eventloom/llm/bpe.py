@@ -23,7 +23,7 @@ from .common import free_name, quoted
 
 #: The pre-tokenizer's pattern of the byte-level vocabularies; a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 200_000  # pieces, and chunks, remembered by a process
+MEMO = 100_000  # pieces, and chunks, remembered by a process
 #: A chunk: white space with what follows it up to the next white space. No piece crosses into another chunk.
 _CHUNK = regex.compile(r"\s*\S+|\s+", regex.VERSION0)
 #: White space for Arrow's search; more of it than the pattern's \s only sends a text the longer way.
@@ -352,7 +352,7 @@ class Encoder:
         return out
 
 
-CHUNK = 1 << 22  # bytes encoded at once
+CHUNK = 1 << 21  # bytes encoded at once
 LONG = 64  # longer chunks are not remembered
 _loaded: dict[str, Encoder] = {}
 
@@ -437,9 +437,9 @@ def digests(docs: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
         gc.disable()  # nothing here makes cycles, and the collector would walk all that is remembered again and again
         enc = load(spec.value)
         for b in batches:
-            texts = b.column(len(keep)).cast(pa.large_string()).fill_null("")
+            texts = b.column(len(keep))
             for lo, hi in _slices(texts):
-                n, ids, back = zip(*enc.digests(texts.slice(lo, hi - lo)), strict=True)
+                n, ids, back = zip(*enc.digests(texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")), strict=True)
                 out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in range(len(keep))), *out], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 

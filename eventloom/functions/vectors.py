@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,6 +19,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+BLOCK = 4096  # rows, and queries, of a block
+
+
+def block_topk(df: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, floor: float | None = None) -> DataFrame:
+    """(query_id, id, score, rank): exact top k of df(id, embedding) for queries(query_id, q) by cosine to 9 places, ties by id.
+
+    Both sides are dealt to blocks whose number follows their row counts; a task multiplies the unit vectors of one block
+    of each and keeps k rows a query, so no task sees all candidates of a query. skip_self leaves equal ids out; floor is
+    the least score. A null or zero vector scores 0. Rows and queries without an id are left out; equal ids stay rows of
+    their own.
+    """
+    df, queries = df.where("id IS NOT NULL"), queries.where("query_id IS NOT NULL")
+    n, nq = df.count(), queries.count()
+    blocks, q_blocks = max(8, -(-n // BLOCK)), max(1, -(-nq // BLOCK))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    deal = lambda key, m: F.pmod(F.xxhash64(key, "x"), F.lit(m)).cast("int")
+    d = df.select("id", F.col("embedding").cast("array<double>").alias("x")).withColumn("block", deal("id", blocks)).withColumn("q_block", every(q_blocks))
+    q = queries.select("query_id", F.col("q").cast("array<double>").alias("x")).withColumn("q_block", deal("query_id", q_blocks)).withColumn("block", every(blocks))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        empty = pd.DataFrame({"query_id": right["query_id"][:0], "id": left["id"][:0], "score": np.zeros(0)})
+        if not len(left) or not len(right):
+            return empty
+        left = left.sort_values("id", ignore_index=True)
+        wide = max((len(v) for side in (left, right) for v in side["x"] if v is not None), default=0)
+
+        def unit(xs):
+            m = np.zeros((len(xs), wide))
+            for i, v in enumerate(xs):
+                if v is not None:
+                    m[i, : len(v)] = v
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+        of, ids, out = unit(left["x"]), left["id"].to_numpy(), []
+        for lo in range(0, len(right), 256):
+            names = right["query_id"].to_numpy()[lo : lo + 256]
+            score = np.round(unit(right["x"][lo : lo + 256]) @ of.T, 9)
+            if floor is not None:
+                score = np.maximum(score, floor)
+            if skip_self:
+                score[names[:, None] == ids[None, :]] = -np.inf
+            least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            order = np.lexsort((col, -score[row, col], row))  # columns stand by id
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query_id": names[row[kept]], "id": ids[col[kept]], "score": score[row[kept], col[kept]]}))
+        return pd.concat(out, ignore_index=True)
+
+    shape = q.select("query_id").schema.fields + d.select("id").schema.fields + [T.StructField("score", T.DoubleType())]
+    met = d.groupBy("block", "q_block").cogroup(q.groupBy("block", "q_block")).applyInPandas(best, T.StructType(shape))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def edit_distance(a: list, b: list) -> int:
     """Edits between two lists: a row of the table at a time, its left-to-right part as a running minimum."""
     import numpy as np

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import once
+from ..functions.medians import group_medians
 from . import components
 
 
@@ -52,7 +53,11 @@ def f1_shape(found: DataFrame, kind: str, topic: str) -> DataFrame:
 
 def annotation_minutes(annotations: DataFrame, dims: list[str], exact: bool = True) -> DataFrame:
     """ADP-06. Median minutes a document by dims; exact=False for an approximate one at scale."""
-    return annotations.groupBy(*dims).agg((F.median("minutes") if exact else F.percentile_approx("minutes", 0.5).cast("double")).alias("minutes"), F.count("*").alias("n"))
+    if not exact:
+        return annotations.groupBy(*dims).agg(F.percentile_approx("minutes", 0.5).cast("double").alias("minutes"), F.count("*").alias("n"))
+    n, m = annotations.groupBy(*dims).agg(F.count("*").alias("n")).alias("n"), group_medians(annotations, dims, "minutes", "minutes").alias("m")
+    met = n.join(m, [F.col(f"n.{c}").eqNullSafe(F.col(f"m.{c}")) for c in dims])
+    return met.select(*[F.col(f"n.{c}").alias(c) for c in dims], F.col("m.minutes").alias("minutes"), F.col("n.n").alias("n"))
 
 
 def topic_drift_kl(weights: DataFrame, epsilon: float = 1e-6) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine
+from ..functions.medians import group_medians
+from ..functions.vectors import block_topk
 from . import components
 from .normalize import severity_rank
 
@@ -30,6 +31,13 @@ def group_by_gap(mentions: DataFrame, gap_s: int) -> DataFrame:
     return mentions.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("group_no", F.sum("_new").over(w)).drop("_new")
 
 
+def consecutive_pairs(mentions: DataFrame, max_gap_s: int) -> DataFrame:
+    """(a, b, kind, id) of records that follow each other within an entity in max_gap_s seconds: the same components as all pairs of correlate_pairs, in linear size."""
+    w = Window.partitionBy("kind", "id").orderBy("at", "record_id")
+    m = mentions.select("kind", "id", F.col("record_id").alias("b"), F.lag("record_id").over(w).alias("a"), (F.unix_micros("at") - F.lag(F.unix_micros("at")).over(w)).alias("gap"))
+    return m.where(F.col("gap") <= max_gap_s * 1_000_000).select("a", "b", "kind", "id")
+
+
 def group_components(pairs: DataFrame) -> DataFrame:
     """GRP-03. (node, component): pairs merged transitively."""
     return components.connected(pairs)
@@ -85,9 +93,8 @@ def rate_anomalies(logs: DataFrame, width: str, lookback: int, z: float) -> Data
 
 def value_anomalies(logs: DataFrame, z: float) -> DataFrame:
     """ANO-02. Of (id, source, value): robust z (0.6745 deviations over the median absolute deviation) at or beyond z."""
-    m = logs.join(logs.groupBy("source").agg(F.median("value").alias("med")), "source").withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    mad = m.groupBy("source").agg(F.median("dev").alias("mad"))
-    out = m.join(mad, "source").withColumn("z", F.when(F.col("mad") > 0, 0.6745 * (F.col("value") - F.col("med")) / F.col("mad")))
+    m = logs.join(components.cut(group_medians(logs, ["source"], "value", "med")), "source").withColumn("dev", F.abs(F.col("value") - F.col("med")))
+    out = m.join(group_medians(m, ["source"], "dev", "mad"), "source").withColumn("z", F.when(F.col("mad") > 0, 0.6745 * (F.col("value") - F.col("med")) / F.col("mad")))
     return out.where(F.abs("z") >= z).select("id", "source", "value", "z")
 
 
@@ -126,16 +133,10 @@ def embed_text(df: DataFrame, col: str, dim: int = 256) -> DataFrame:
     return fitted.transform(words).withColumn("embedding", vector_to_array("_u")).withColumn("model", F.lit(f"hashed-tfidf-{dim}")).drop("_w", "_tf", "_x", "_u")
 
 
-def similar_topk(df: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """SIM-02. Exact top k of df(id, embedding) for each of a stated set of queries(id, embedding), by cosine; self left out, ties by id.
-
-    The rows are dealt to blocks; each block keeps its own top k a query, so that no task sees all candidates of a query.
-    """
-    q = queries.select(F.col("id").alias("ref_id"), F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = df.select("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    s = d.join(q, "block").where("id <> ref_id").select("ref_id", "block", "id", F.greatest(F.lit(0.0), F.round(cosine(F.col("embedding"), F.col("q")), 9)).alias("score"))
-    top = s.withColumn("r", F.row_number().over(Window.partitionBy("ref_id", "block").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("ref_id", "id", "score", "rank")
+def similar_topk(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """SIM-02. Exact top k of df(id, embedding) for each of a stated set of queries(id, embedding), by cosine (0 at least); self left out, ties by id."""
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return block_topk(df, q, k, skip_self=True, floor=0.0).select(F.col("query_id").alias("ref_id"), "id", "score", "rank")
 
 
 def similar_topk_approx(df: DataFrame, queries: DataFrame, k: int, max_distance: float, bucket: float = 1.0, tables: int = 6) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import once
-from ..functions.vectors import cosine
+from ..functions.vectors import block_topk
 from . import components
 
 #: Boost of a result's kind in a search mode; fixed values of the search contract. Any other pair has none.
@@ -53,13 +53,9 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2,
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
 
 
-def vector_search(docs: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """SEA-03. Top k of docs(id, embedding) for queries(query_id, q) by cosine; each block of rows keeps its own top k first."""
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = docs.select("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    s = d.join(q, "block").select("query_id", "block", "id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    top = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+def vector_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """SEA-03. Top k of docs(id, embedding) for queries(query_id, q) by cosine, ties by id."""
+    return block_topk(docs, queries, k)
 
 
 def hybrid_search(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:

@@ -47,7 +47,7 @@ def grp02_group_by_gap(spark, sf_dir):
 
 @query(f"SELECT node, min(node) OVER (PARTITION BY group_id) AS component FROM (SELECT record_id AS node, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM ({G})) WHERE n > 1")
 def grp03_group_components(spark, sf_dir):
-    return incidents.group_components(incidents.correlate_pairs(_m(spark, sf_dir), GAP))
+    return incidents.group_components(incidents.consecutive_pairs(_m(spark, sf_dir), GAP))
 
 
 @query(f"""WITH g AS ({G}), p AS ({PAIRS}), n AS (SELECT group_id, count(*) AS np FROM p JOIN g ON least(p.a, p.b) = g.record_id GROUP BY group_id)

@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, mixing, pii, quality, secrets, toxicity, urls, warc
+from . import bpe, counts, fingerprints, jaccard, mixing, pii, quality, secrets, toxicity, urls, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
-    """The public byte-level vocabulary; a parameter of the operators."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary, by default the byte-level one; a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_derivatives, op2_toxicity, op3_jaccard_join, op4_mix_sources, op5_bpe, op6_pii, op7_secrets, op8_quality_rules, op9_fingerprints, op10_url_filter]
+    found = [op1_warc_derivatives, op2_toxicity, op3_jaccard_join, op4_mix_sources, op5_bpe, op6_pii, op7_secrets, op8_quality_rules, op9_fingerprints, op10_url_filter, op12_token_counts]
     return {f.__name__: f for f in found}
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections import Counter
 
@@ -22,8 +23,9 @@ from .common import Scratch, free_name, quoted, text_of
 FREQUENT = 1 << 17  # pre-tokens whose pieces go to the tasks; the others are joined
 SHORT = 24  # bytes of these at most, so that all of them take 4 MB at most
 HELD = 1 << 17  # distinct pre-tokens a task gathers before it hands them on
-MEMO = 200_000  # chunks a process remembers
-SLICE = 1 << 21  # bytes of text taken at once
+MEMO = 300_000  # chunks a process remembers
+TOGETHER = 32  # characters of pre-tokens that are merged together, in arrays
+SLICE = 1 << 23  # bytes of text taken at once
 #: The normalizer and the pre-tokenizer of the vocabulary that is supported; fixed values of the format.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,15 +55,23 @@ class Pieces:
         self.end = rules["model"].get("end_of_word_suffix") or ""
         pairs = [p.split(" ") if isinstance(p, str) else p for p in rules["model"]["merges"]]
         self.rank = {(a, b): r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        ids = rules["model"]["vocab"]
+        self.n, self.none = len(ids), len(pairs)
+        keys = np.array([ids[a] * self.n + ids[b] for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
+        self.made = np.array([ids.get(a + b, -1) for a, b in pairs], np.int64)  # of each rank
+        self.inner, self.final = (np.array([ids.get(chr(c) + e, -1) for c in range(512)], np.int64) for e in ("", self.end))
         names = sorted((t["content"] for t in rules.get("added_tokens", [])), key=lambda s: (-len(s), s))
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.mark = os.path.commonprefix(names)  # stands in every text that holds a special token
         own = Tokenizer.from_str(spec)
         self.normalise, self.cut = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self.memo: dict[str, tuple[list[str], int]] = {}
 
     def pretokens(self, chunk: str) -> tuple[list[str], int]:
         """The pre-tokens of a text, and the number of special tokens that stand in it. Unicode rules are the library's."""
-        parts = self.special.split(chunk) if self.special else [chunk]
+        parts = self.special.split(chunk) if self.special and self.mark in chunk else [chunk]
         out: list[str] = []
         for part in parts:
             if part.isascii() and part.isprintable():
@@ -70,15 +80,48 @@ class Pieces:
                 out += [p for p, _ in self.cut(self.normalise(part))]
         return out, len(parts) - 1
 
-    def known(self, chunk: str) -> tuple[list[str], int]:
-        got = self.memo.get(chunk)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.pretokens(chunk)
-            if len(chunk) <= 64:
-                self.memo[chunk] = got
-        return got
+    def _together(self, chunks: list[str]) -> list[tuple[list[str], int]]:
+        """pretokens() of chunks without special tokens, in one call: blanks between them cut as well."""
+        text = self.normalise(" ".join(chunks))
+        own = text.split(" ")
+        if len(own) != len(chunks):  # a chunk holds white space of its own
+            return [self.pretokens(c) for c in chunks]
+        ends, at = [], 0
+        for c in own:
+            at += len(c) + 1
+            ends.append(at)
+        out: list[list[str]] = [[] for _ in chunks]
+        k = 0
+        for p, (start, _) in self.cut(text):
+            while start >= ends[k]:
+                k += 1
+            out[k].append(p)
+        return [(x, 0) for x in out]
+
+    def known(self, chunks: list[str]) -> list[tuple[list[str], int]]:
+        """pretokens() of each chunk; short ones are remembered."""
+        memo, out, strange = self.memo, [None] * len(chunks), []
+        for k, c in enumerate(chunks):
+            got = memo.get(c)
+            if got is None:
+                if c.isascii():
+                    got = ([c.lower()], 0) if c.isalpha() else self.pretokens(c)
+                    if len(c) <= 64 and len(memo) < MEMO:
+                        memo[c] = got
+                elif self.mark in c:
+                    got = self.pretokens(c)
+                else:
+                    strange.append(k)
+            out[k] = got
+        for at in range(0, len(strange), 1000):
+            some = strange[at : at + 1000]
+            for k, got in zip(some, self._together([chunks[k] for k in some]), strict=True):
+                out[k] = got
+                if len(chunks[k]) <= 64 and len(memo) < MEMO:
+                    memo[chunks[k]] = got
+        if len(memo) >= MEMO:
+            memo.clear()
+        return out
 
     def count(self, token: str) -> int:
         """Pieces of a pre-token: the lowest-ranked adjacent pair merges, leftmost first, until none is left."""
@@ -106,6 +149,42 @@ class Pieces:
         return left
 
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((a >= 0) & (b >= 0) & (self.pairs[at] == key), self.ranks[at], self.none)
+
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """count() of each token; of the short ones thousands together, each by its own lowest-ranked pair a step."""
+        out = np.array([self.count(t) if len(t) > TOGETHER else 0 for t in tokens], np.int64)
+        short = sorted((k for k, t in enumerate(tokens) if len(t) <= TOGETHER), key=lambda k: len(tokens[k]))
+        for lo in range(0, len(short), 10_000):
+            some = short[lo : lo + 10_000]  # of about one length
+            sizes = np.array([len(tokens[k]) for k in some])
+            wide, row = int(sizes.max()), np.arange(len(some))
+            codes, part = np.frombuffer("".join([tokens[k] for k in some]).encode("utf-32-le"), np.uint32), np.full((len(some), wide), -1)
+            part[np.arange(wide) < sizes[:, None]] = self.inner[codes]
+            part[row, sizes - 1] = self.final[codes[np.cumsum(sizes) - 1]]
+            rank = np.full(part.shape, self.none)  # of the pair that starts here
+            rank[:, :-1] = self._rank(part[:, :-1], part[:, 1:])
+            live, place = row, np.arange(wide)
+            while len(live):
+                at = rank[live].argmin(1)
+                best = rank[live, at]
+                live, at, best = live[best < self.none], at[best < self.none], best[best < self.none]
+                shift = np.minimum(place + (place > at[:, None]), wide - 1)
+                p, r, i = np.take_along_axis(part[live], shift, 1), np.take_along_axis(rank[live], shift, 1), np.arange(len(live))
+                p[:, -1], r[:, -1] = -1, self.none
+                p[i, at] = self.made[best]
+                after = np.minimum(at + 1, wide - 1)
+                r[i, at] = np.where(after > at, self._rank(p[i, at], p[i, after]), self.none)
+                before = np.maximum(at - 1, 0)
+                r[i, before] = np.where(at > 0, self._rank(p[i, before], p[i, at]), r[i, before])
+                part[live], rank[live] = p, r
+            out[some] = (part >= 0).sum(1)
+        return out
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -154,8 +233,8 @@ def pretoken_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         show = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
         for b in batches:
             for _, _, chunks, codes, _ in _chunks(b.column(0)):
-                for chunk, n in zip(chunks, np.bincount(codes, minlength=len(chunks)).tolist(), strict=True):
-                    for token in rules.known(chunk)[0]:
+                for (tokens, _), n in zip(rules.known(chunks), np.bincount(codes, minlength=len(chunks)).tolist(), strict=True):
+                    for token in tokens:
                         found[token] += n
                 if len(found) >= HELD:
                     yield show()
@@ -167,7 +246,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         rules = load(spec.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(rules.count, b.column(0).to_pylist()), pa.int64())], names=["token", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rules.counts(b.column(0).to_pylist()), pa.int64())], names=["token", "n", "pieces"])
 
     tokens = docs.select(text_of().alias("text")).mapInArrow(gather, "token string, n long")
     return tokens.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(count, "token string, n long, pieces long")
@@ -198,8 +277,7 @@ def token_counts(docs: DataFrame, tokenizer: str, keep: list[str], limit: int =
             for lo, hi, chunks, codes, starts in _chunks(texts):
                 # what the frequent pre-tokens and special tokens of each chunk come to, and its other pre-tokens
                 sums, owner, others, known = np.zeros(len(chunks), np.int64), [], [], {}
-                for k, chunk in enumerate(chunks):
-                    tokens, n = rules.known(chunk)
+                for k, (tokens, n) in enumerate(rules.known(chunks)):
                     for t in tokens:
                         if (p := of.get(t)) is None:
                             owner.append(k)

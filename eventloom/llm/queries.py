@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, fingerprints, jaccard, mixing, pii, quality, secrets, toxicity, urls, warc
+from . import bpe, counts, fingerprints, jaccard, mixing, negatives, pii, quality, secrets, toxicity, trie, urls, warc
 from .common import table
 
 
@@ -68,12 +68,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations"), 20, head))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings")).withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.coalesce(F.col("id") % 50 == 0, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_derivatives, op2_toxicity, op3_jaccard_join, op4_mix_sources, op5_bpe, op6_pii, op7_secrets, op8_quality_rules, op9_fingerprints, op10_url_filter, op12_token_counts]
+    found = [op1_warc_derivatives, op2_toxicity, op3_jaccard_join, op4_mix_sources, op5_bpe, op6_pii, op7_secrets, op8_quality_rules, op9_fingerprints, op10_url_filter, op11_conversation_trie, op12_token_counts, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -160,5 +170,46 @@ SELECT doc_id, size, source_size, target, CAST(size * (
   + CASE WHEN upto <= b2 OR (upto - here <= b2 AND upto - b2 < b2 - (upto - here)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b"""
 
 
+#: Every prefix of every rebuilt conversation; crc32 a bit at a time, over each byte and eight shifts.
+OP11_SQL = r"""
+WITH o AS (
+  SELECT conv_id, id, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM (
+    SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, strlen(s) + 1), lambda i: [CAST(ascii(substr(s, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL)
+), q AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.id, o.n FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.id, o.n FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h
+), l AS (
+  SELECT c.conv_id, coalesce(list(q.id ORDER BY part, pos) FILTER (WHERE q.id IS NOT NULL), []) AS ids, list(q.n ORDER BY part, pos) AS ns FROM c LEFT JOIN q ON q.conv_id = c.conv_id GROUP BY c.conv_id
+), x AS (
+  SELECT conv_id, unnest(range(0, len(ids) + 1)) AS d, ids, ns FROM l
+), n AS (
+  SELECT list_slice(ids, 1, d) AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(ns[d]), 0) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(ids) = d), '')) AS ends_sha256 FROM x GROUP BY 1, 2
+), e AS (
+  SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1
+), f AS (
+  SELECT n.*, coalesce(e.n_children, 0) AS n_children FROM n LEFT JOIN e ON e.path = n.path
+), a AS (
+  SELECT list_slice(path, 1, j) AS path, sum((n_convs - 1) * w) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM f) GROUP BY 1
+)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a ON a.path = f.path LEFT JOIN n u ON f.d > 0 AND u.d = f.d - 1 AND u.path = list_slice(f.path, 1, f.d - 1)"""
+
+#: All anchors against all rows.
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": OP1_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op1_warc_derivatives": OP1_SQL, "op4_mix_sources": OP4_SQL, "op11_conversation_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}

@@ -78,17 +78,25 @@ def block_topk(df: DataFrame, queries: DataFrame, k: int, skip_self: bool = Fals
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Edits between two lists: a row of the table at a time, its left-to-right part as a running minimum."""
-    import numpy as np
-
-    codes: dict = {}
-    x, y = ([codes.setdefault(w, len(codes)) for w in s] for s in (a, b))
-    y, step = np.array(y, np.int64), np.arange(len(y) + 1)
-    row = step.copy()
-    for i, c in enumerate(x, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-        row = np.minimum.accumulate(np.concatenate(([i], best)) - step) + step
-    return int(row[-1])
+    """Edits between two lists, by bit vectors: whether each cell of a column of the table is one more or one less than the
+    cell above, for all of the longer list at once, a step for each element of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last, edits = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0  # the cells that are one more, one less
+    for w in b:
+        same = places.get(w, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (every & ~(diagonal | up)), up & diagonal
+        edits += 1 if right & last else -1 if left & last else 0
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | (every & ~(diagonal | right)), right & diagonal
+    return edits
 
 
 def word_edits(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import once
 from ..functions.medians import group_medians
+from ..functions.scratch import cut, new_folder, remove_at_end
 from . import components
 
 
@@ -116,12 +117,11 @@ def _words(c: Column) -> Column:
 def fit_topics(docs: DataFrame, method: str = "lda", k: int = 4, seed: int = 7, vocab: int = 2000, rounds: int = 10):
     """ADP-12. A topic model of docs(doc_id, text): lda (MLlib), lsi (raw counts) or lsa (TF-IDF), both by singular vectors.
 
-    Returns (vectors: doc_id, v; vocabulary; model), where model is an LDAModel or an array terms x k.
+    Returns (vectors: doc_id, v; vocabulary; model), where model is an LDAModel or an array terms x k. The sign of a
+    singular vector is free: its largest component in size is made positive, the first of equal ones.
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
     d = docs.select("doc_id", _words(F.col("text")).alias("w"))
     cv = CountVectorizer(inputCol="w", outputCol="v", vocabSize=vocab, minDF=2.0).fit(d)
@@ -130,32 +130,43 @@ def fit_topics(docs: DataFrame, method: str = "lda", k: int = 4, seed: int = 7,
         return v, cv.vocabulary, LDA(k=k, seed=seed, maxIter=rounds, featuresCol="v", optimizer="online").fit(v)
     if method == "lsa":
         v = IDF(inputCol="v", outputCol="t").fit(v).transform(v).select("doc_id", F.col("t").alias("v"))
-    svd = RowMatrix(v.rdd.map(lambda r: Vectors.fromML(r["v"]))).computeSVD(k)
-    return v, cv.vocabulary, svd.V.toArray()
-
+    return v, cv.vocabulary, singular_axes(v, k)[0]
 
-def topic_membership(vectors: DataFrame, model, fn: str) -> DataFrame:
-    """ADP-13. (doc_id, topic_id, membership) by lda_theta, or by lsi_cosine or lsa_cosine (cosine with the topic's axis)."""
-    from pyspark.ml.functions import vector_to_array
 
-    if fn == "lda_theta":
-        m = model.transform(vectors).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "membership"))
-        return m
+def singular_axes(vectors: DataFrame, k: int):
+    """The first k right singular vectors of the rows of vectors(v), as columns, and the singular values. Rows stay sparse and in the JVM; the driver holds the axes only."""
     import numpy as np
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    axes = vectors.sparkSession.sparkContext.broadcast(np.asarray(model))  # terms x topics, of a chosen size
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("v"), "v")).computeSVD(k)
+    axes = svd.V.toArray()
+    top = axes[np.abs(np.round(axes, 9)).argmax(axis=0), np.arange(axes.shape[1])]
+    return axes * np.where(top < 0, -1.0, 1.0), svd.s.toArray()
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist())
-            y = x @ axes.value
-            y = y / np.maximum(np.linalg.norm(x, axis=1, keepdims=True) * np.linalg.norm(axes.value, axis=0, keepdims=True), 1e-12)
-            i, j = np.indices(y.shape)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[i.ravel()], "topic_id": j.ravel().astype("int32"), "membership": y.ravel()})
+def _stored(vectors: DataFrame) -> DataFrame:
+    """(doc_id, i, x): places and values of the components that vectors(doc_id, v) stores. A written vector is a struct of
+    them, so they are read without making it dense."""
+    spark, path = vectors.sparkSession, new_folder(vectors.sparkSession, "vectors")
+    vectors.select("doc_id", "v").write.parquet(path)
+    parts = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    rows = spark.read.schema(f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, v {parts}").parquet(remove_at_end(spark, path))
+    return rows.select("doc_id", F.coalesce("v.indices", F.transform("v.values", lambda x, i: i)).alias("i"), F.col("v.values").alias("x"))
 
-    return vectors.select("doc_id", vector_to_array("v").alias("v")).mapInPandas(run, "doc_id long, topic_id int, membership double")
+
+def topic_membership(vectors: DataFrame, model, fn: str) -> DataFrame:
+    """ADP-13. (doc_id, topic_id, membership) by lda_theta, or by lsi_cosine or lsa_cosine (cosine with the topic's axis; 0 for a vector without components)."""
+    from pyspark.ml.functions import vector_to_array
+
+    if fn == "lda_theta":
+        return model.transform(vectors).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "membership"))
+    axes = model / ((model**2).sum(axis=0, keepdims=True) ** 0.5)  # terms x topics, of a chosen size
+    add = lambda s, x: s + x
+    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
+    dot = lambda axis: F.aggregate(F.zip_with("i", "x", lambda i, x: x * F.get(F.lit(axis).cast("array<double>"), i)), F.lit(0.0), add)
+    each = F.array(*(F.when(size > 0, dot(axes[:, k].tolist()) / size).otherwise(0.0) for k in range(axes.shape[1])))
+    return _stored(vectors).select("doc_id", F.posexplode(each).alias("topic_id", "membership"))
 
 
 def topic_signature(model, vocabulary: list[str], docs: DataFrame, membership: DataFrame, n: int) -> DataFrame:
@@ -250,12 +261,38 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+FLAGS = 1 << 17  # bits that say whether a word may begin a term
+
+
+def _flag(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(FLAGS)).cast("int")
+
+
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, first, ahead) for the places of docs(doc_id, text) whose word may begin one of terms(t, first), with the words
+    there up to the longest term's length. A fixed number of bits tells, whatever the number of terms."""
+    # collected: FLAGS / 32 numbers at most
+    marks = terms.select(_flag(F.col("first")).alias("f")).groupBy((F.col("f") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, f % 32)")).alias("bits")).collect()
+    longest = terms.agg(F.max(F.size("t"))).first()[0] or 1
+    bits = [0] * (FLAGS // 32)
+    for r in marks:
+        bits[r["at"]] = r["bits"]
+    table = F.lit(bits).cast("array<long>")
+    w = docs.select("doc_id", once(_words(F.col("text"))).alias("w")).withColumn("f", once(F.transform("w", _flag))).where("size(w) > 0")
+    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.call_function("shiftright", F.get(table, (F.get("f", i - 1) / 32).cast("int")), F.get("f", i - 1) % 32).bitwiseAND(1) == 1)
+    return w.select("doc_id", F.explode(F.transform(at, lambda i: F.slice("w", i, longest))).alias("ahead")).select("doc_id", F.get("ahead", F.lit(0)).alias("first"), "ahead")
+
+
 def apply_dictionary(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """ADP-22. (doc_id, term, n): dictionary(term) terms of any number of words in docs(doc_id, text), as whole words in lower case."""
-    sizes = sorted(r["n"] for r in dictionary.select(F.size(_words(F.col("term"))).alias("n")).where("n > 0").distinct().collect())  # a few lengths
-    w = docs.select("doc_id", once(_words(F.col("text"))).alias("w"))
-    grams = w.select("doc_id", F.explode(F.concat(*[ngrams(F.col("w"), n) for n in sizes or [1]])).alias("term"))
-    return grams.join(dictionary.select(F.lower("term").alias("term")).distinct(), "term").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    """ADP-22. (doc_id, term, n): dictionary(term) terms of any number of words in docs(doc_id, text), as whole words in lower case.
+
+    Terms are indexed by their first word. Only places whose word may begin a term become rows; there the words of the
+    terms that begin so are compared.
+    """
+    terms = dictionary.select(_words(F.col("term")).alias("t"), F.lower("term").alias("term")).where("size(t) > 0").distinct()
+    terms = cut(terms.select("term", "t", F.get("t", F.lit(0)).alias("first")))
+    met = term_places(docs, terms).join(terms, "first").where(F.slice("ahead", F.lit(1), F.size("t")) == F.col("t"))
+    return met.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def apply_regex_rules(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -277,14 +314,12 @@ def patch_taxonomy(entities: DataFrame, patch: DataFrame, defined: list[str]) ->
 
 
 def artifact_lineage(inputs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input), to the last ancestor; cycles end by themselves.
+    """ADP-26. (artifact, ancestor, distance) over inputs(artifact, input), to the last ancestor, in rounds that double the distance; cycles end by themselves.
 
     With runs(artifact, run_id, metric, value), the supporting runs of artifacts, a row for each metric of each run that
     supports the ancestor, or one with nulls.
     """
-    edges = inputs.select(F.col("artifact").alias("src"), F.col("input").alias("dst"))
-    seeds = inputs.select(F.col("artifact").alias("seed")).distinct()
-    found = components.k_hop(edges, seeds, None, directed=True).where("distance > 0").select(F.col("seed").alias("artifact"), F.col("node").alias("ancestor"), "distance")
+    found = components.closure(inputs.select(F.col("artifact").alias("src"), F.col("input").alias("dst"))).select(F.col("src").alias("artifact"), F.col("dst").alias("ancestor"), "distance")
     return found if runs is None else found.join(runs.select(F.col("artifact").alias("ancestor"), "run_id", "metric", "value"), "ancestor", "left").select("artifact", "ancestor", "distance", "run_id", "metric", "value")
 
 
@@ -324,3 +359,23 @@ def topic_centroids(membership: DataFrame, embeddings: DataFrame) -> DataFrame:
     e = embeddings.select("id", F.posexplode("embedding").alias("dim", "x"))
     met = membership.join(e, "id")
     return met.groupBy("topic_id", "dim").agg((F.sum(F.col("x") * F.col("membership")) / F.sum("membership")).alias("x"))
+
+
+def store_centroids(centroids: DataFrame, path: str, space: str) -> DataFrame:
+    """ADP-31. Stores topic_centroids as (space, topic_id, centroid), a row a topic, in the table at path; returns (topic_id, centroid_embedding_ref), where a reference is path#space/topic_id. A space that is stored again replaces itself."""
+    spark = centroids.sparkSession
+    rows = centroids.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("c"))  # of the embeddings' width
+    rows = rows.select(F.lit(space).alias("space"), "topic_id", F.transform("c", lambda v: v["x"]).alias("centroid"))
+    rows.write.mode("overwrite").partitionBy("space").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return spark.read.parquet(path).where(F.col("space") == space).select("topic_id", F.concat(F.lit(f"{path}#{space}/"), F.col("topic_id").cast("string")).alias("centroid_embedding_ref"))
+
+
+def read_centroids(spark, refs: DataFrame) -> DataFrame:
+    """ADP-31. refs(centroid_embedding_ref, ...) with the centroid that each points to; the tables that refs name are few."""
+    at = refs.withColumns({"_path": F.substring_index("centroid_embedding_ref", "#", 1), "_key": F.substring_index("centroid_embedding_ref", "#", -1)})
+    paths = [r["_path"] for r in at.select("_path").distinct().collect()]
+    out = None
+    for p in paths:
+        t = spark.read.parquet(p).select(F.lit(p).alias("_path"), F.concat_ws("/", "space", F.col("topic_id").cast("string")).alias("_key"), "centroid")
+        out = t if out is None else out.unionByName(t)
+    return (at.join(out, ["_path", "_key"]) if out is not None else at.withColumn("centroid", F.lit(None).cast("array<double>"))).drop("_path", "_key")

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.scans import Scan
 
 OUTCOME = ["run_id", "type", "artifact", "outcome", "detail"]
 
@@ -71,12 +72,14 @@ def diff_artifacts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def run_history(runs: DataFrame) -> DataFrame:
-    """QES-08. Of (run_id, scenario, status, started_at): place in the scenario's history, whether the latest, pass rate so far, flip from the run before."""
-    w = Window.partitionBy("scenario").orderBy("started_at", "run_id")
-    ok = (F.col("status") == "completed").cast("double")
-    before = F.lag("status").over(w)
-    flip = before.isNotNull() & ((before == "completed") != (F.col("status") == "completed"))
-    return runs.select("scenario", "run_id", "status", F.row_number().over(w).alias("seq"), F.lead("run_id").over(w).isNull().alias("latest"), F.avg(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("pass_rate"), flip.alias("flip"))
+    """QES-08. Of (run_id, scenario, status, started_at): place in the scenario's history, whether the latest, pass rate so far, flip from the run before. A scenario with most of the runs is scanned in even parts."""
+    ok = F.col("status") == "completed"
+    r = runs.select("scenario", "run_id", "status", "started_at")
+    order = ["started_at", "run_id"]
+    r = Scan(r, ["scenario"], order).values(number="seq", sums={"passed": ok.cast("long")}, lags={"before": F.col("status")}).result()
+    last = r.groupBy(F.col("scenario").alias("_of")).agg(F.max("seq").alias("of"))
+    flip = F.col("before").isNotNull() & ((F.col("before") == "completed") != ok)
+    return r.join(last, F.col("scenario").eqNullSafe(F.col("_of"))).select("scenario", "run_id", "status", F.col("seq").cast("int").alias("seq"), (F.col("seq") == F.col("of")).alias("latest"), (F.col("passed") / F.col("seq")).alias("pass_rate"), flip.alias("flip"))
 
 
 def fingerprint(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -100,8 +103,8 @@ def pipeline_versions(runs: DataFrame, names: list[str]) -> DataFrame:
 def version_changes(runs: DataFrame) -> DataFrame:
     """QES-11. Of runs(run_id, scenario, started_at, pipelines map): (scenario, name, run_id, before, version) where a pipeline's version differs from that of the scenario's run before it that has the pipeline."""
     each = runs.select("scenario", "run_id", "started_at", F.explode("pipelines").alias("name", "version"))
-    before = F.lag("version").over(Window.partitionBy("scenario", "name").orderBy("started_at", "run_id"))
-    return each.withColumn("before", before).where("before IS NOT NULL AND NOT before <=> version").select("scenario", "name", "run_id", "before", "version")
+    found = Scan(each, ["scenario", "name"], ["started_at", "run_id"]).values(lags={"before": F.col("version")}).result()
+    return found.where("before IS NOT NULL AND NOT before <=> version").select("scenario", "name", "run_id", "before", "version")
 
 
 def run_duration(runs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.scans import Scan
 from .adaptation import semver
 
 
@@ -39,10 +39,12 @@ def task_contract(repos: DataFrame, files: DataFrame, task: str) -> DataFrame:
 
 
 def run_rollup(results: DataFrame) -> DataFrame:
-    """WSP-05. Of (batch, position, outcome, code): exit code is the last non-zero in order, where missing and no contract are 2; and counts."""
-    code = F.when(F.col("outcome").isin("missing", "no contract"), 2).otherwise(F.col("code"))
-    r = results.withColumn("c", code)
-    return r.groupBy("batch").agg(F.coalesce(F.max_by("c", F.when(F.col("c") != 0, F.col("position"))), F.lit(0)).alias("exit_code"), F.count_if(F.col("c") == 0).alias("n_ok"), F.count_if(F.col("c") != 0).alias("n_failed"))
+    """WSP-05. Of (batch, position, outcome, code): exit code is the last non-zero in order, where missing and no contract
+    are 2; and how many were ok, failed, missing and without a contract, each result in one count."""
+    away = F.col("outcome").isin("missing", "no contract")
+    r = results.withColumn("c", F.when(away, 2).otherwise(F.col("code")))
+    counts = {"n_ok": ~away & (F.col("c") == 0), "n_failed": ~away & (F.col("c") != 0), "n_missing": F.col("outcome") == "missing", "n_no_contract": F.col("outcome") == "no contract"}
+    return r.groupBy("batch").agg(F.coalesce(F.max_by("c", F.when(F.col("c") != 0, F.col("position"))), F.lit(0)).alias("exit_code"), *(F.count_if(c).alias(n) for n, c in counts.items()))
 
 
 def inventory_rows(manifest: DataFrame, lock: DataFrame) -> DataFrame:
@@ -54,7 +56,10 @@ def inventory_rows(manifest: DataFrame, lock: DataFrame) -> DataFrame:
 def inventory_report(manifest: DataFrame, lock: DataFrame) -> DataFrame:
     """WSP-06. Repositories by role and license hint, with how many are locked and their distinct capabilities."""
     met = manifest.join(lock.select("name", F.col("rev").alias("locked")), "name", "left")
-    return met.groupBy("role", F.coalesce("license", F.lit("unknown")).alias("license")).agg(F.count("*").alias("n"), F.count("locked").alias("n_locked"), F.size(F.array_distinct(F.flatten(F.collect_set("capabilities")))).alias("n_capabilities"))
+    by = [F.col("role"), F.coalesce("license", F.lit("unknown")).alias("license")]
+    # a null marks the repository itself beside its capabilities; counts combine before the shuffle, no array is gathered
+    each = met.select(*by, "locked", F.explode(F.concat(F.coalesce("capabilities", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("c"))
+    return each.groupBy("role", "license").agg(F.count_if(F.col("c").isNull()).alias("n"), F.count_if(F.col("c").isNull() & F.col("locked").isNotNull()).alias("n_locked"), F.count_distinct("c").cast("int").alias("n_capabilities"))
 
 
 def capability_match(adapters: DataFrame, provided: DataFrame) -> DataFrame:
@@ -126,8 +131,7 @@ def carrier_integrity(carriers: DataFrame) -> DataFrame:
 
 def lifecycle_sessions(carriers: DataFrame, by: str, first: str = "a2a.author.propose", last: str = "a2a.done") -> DataFrame:
     """CAR-02. Sessions of (by, type, time, id): opened by first, closed by last; steps, whether done, seconds. Events before the first opening have session 0."""
-    w = Window.partitionBy(by).orderBy("time", "id")
-    s = carriers.withColumn("session", F.sum((F.col("type") == first).cast("int")).over(w))
+    s = Scan(carriers, [by], ["time", "id"]).values(sums={"session": (F.col("type") == first).cast("long")}).result()
     end = F.min(F.when(F.col("type") == last, F.col("time")))
     s = s.groupBy(by, "session").agg(F.count("*").alias("n_steps"), F.min("time").alias("opened"), end.alias("closed"), F.count_distinct("type").alias("n_types"))
     return s.withColumn("seconds", F.unix_timestamp("closed") - F.unix_timestamp("opened"))
@@ -147,12 +151,10 @@ def passive_violations(actions: DataFrame, roles: DataFrame) -> DataFrame:
     """HAM-02. actions(site, at, action, id) by a site whose last role of roles(site, at, role) by then is passive; a role counts from its own time on."""
     a = actions.select("site", "at", F.lit(1).alias("o"), "action", "id", F.lit(None).cast("string").alias("role"))
     r = roles.select("site", "at", F.lit(0).alias("o"), F.lit(None).cast("string").alias("action"), F.lit(None).cast(actions.schema["id"].dataType).alias("id"), "role")
-    w = Window.partitionBy("site").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    u = a.unionByName(r).withColumn("role", F.last("role", ignorenulls=True).over(w))
-    return u.where("o = 1 AND role = 'passive' AND action IN ('train', 'promote')").select("site", "at", "action", "id")
+    u = Scan(a.unionByName(r), ["site"], ["at", "o", "role"]).values(lasts={"now": F.col("role")}).result()
+    return u.where("o = 1 AND now = 'passive' AND action IN ('train', 'promote')").select("site", "at", "action", "id")
 
 
 def failovers(roles: DataFrame) -> DataFrame:
-    """HAM-03. (site, at, from_role, role) where a site's role flips."""
-    before = F.lag("role").over(Window.partitionBy("site").orderBy("at"))
-    return roles.withColumn("from_role", before).where("from_role IS NOT NULL AND from_role <> role").select("site", "at", "from_role", "role")
+    """HAM-03. (site, at, from_role, role) where a site's role flips. Roles of equal times stand in text order."""
+    return Scan(roles.select("site", "at", "role"), ["site"], ["at", "role"]).values(lags={"from_role": F.col("role")}).result().where("from_role IS NOT NULL AND from_role <> role").select("site", "at", "from_role", "role")

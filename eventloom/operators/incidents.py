@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expressions import once
 from ..functions.medians import group_medians
+from ..functions.scans import Scan
+from ..functions.scratch import cut
 from ..functions.vectors import block_topk
 from . import components
 from .normalize import severity_rank
@@ -24,18 +29,31 @@ def correlate_pairs(mentions: DataFrame, max_gap_s: int) -> DataFrame:
     return met.select("a", "b", "kind", "id")
 
 
+def _ordered(mentions: DataFrame) -> Scan:
+    return Scan(mentions, ["kind", "id"], ["at", "record_id"])
+
+
 def group_by_gap(mentions: DataFrame, gap_s: int) -> DataFrame:
-    """GRP-02. mentions with group_no within their entity: a new group when more than gap_s seconds pass."""
-    w = Window.partitionBy("kind", "id").orderBy("at", "record_id")
-    new = (F.unix_micros("at") - F.lag(F.unix_micros("at")).over(w) > gap_s * 1_000_000).cast("int")
-    return mentions.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("group_no", F.sum("_new").over(w)).drop("_new")
+    """GRP-02. mentions with group_no within their entity: a new group when more than gap_s seconds pass. An entity with most of the rows is scanned in even parts."""
+    last = _ordered(mentions).values(lags={"_before": F.col("at")})
+    new = (F.unix_micros("at") - F.unix_micros("_before") > gap_s * 1_000_000).cast("long")
+    return last.values(sums={"group_no": new}).result().drop("_before")
 
 
 def consecutive_pairs(mentions: DataFrame, max_gap_s: int) -> DataFrame:
     """(a, b, kind, id) of records that follow each other within an entity in max_gap_s seconds: the same components as all pairs of correlate_pairs, in linear size."""
-    w = Window.partitionBy("kind", "id").orderBy("at", "record_id")
-    m = mentions.select("kind", "id", F.col("record_id").alias("b"), F.lag("record_id").over(w).alias("a"), (F.unix_micros("at") - F.lag(F.unix_micros("at")).over(w)).alias("gap"))
-    return m.where(F.col("gap") <= max_gap_s * 1_000_000).select("a", "b", "kind", "id")
+    m = _ordered(mentions).values(lags={"_before": F.struct("record_id", "at")}).result()
+    return m.where(F.unix_micros("at") - F.unix_micros("_before.at") <= max_gap_s * 1_000_000).select(F.col("_before.record_id").alias("a"), F.col("record_id").alias("b"), "kind", "id")
+
+
+def count_pairs(groups: DataFrame, max_gap_s: int) -> DataFrame:
+    """(group_id, n_pairs) of groups(group_id, kind, id, record_id, at): how many pairs correlate_pairs would give within each
+    group, counted without making them. Each record also stands at its time plus the gap; what the entity's running count
+    has gathered by then, less the record's own place, is the number of records it pairs with."""
+    here = groups.select("group_id", "kind", "id", "record_id", F.unix_micros("at").alias("t"), F.lit(0).alias("probe"))
+    both = here.unionByName(here.withColumns({"t": F.col("t") + max_gap_s * 1_000_000, "probe": F.lit(1)}))
+    seen = Scan(both, ["kind", "id"], ["t", "probe", "record_id"]).values(sums={"seen": 1 - F.col("probe")}).result()
+    return seen.groupBy("group_id").agg(F.sum(F.when(F.col("probe") == 1, F.col("seen")).otherwise(-F.col("seen"))).alias("n_pairs"))
 
 
 def group_components(pairs: DataFrame) -> DataFrame:
@@ -43,19 +61,26 @@ def group_components(pairs: DataFrame) -> DataFrame:
     return components.connected(pairs)
 
 
-def emit_event_groups(groups: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """GRP-04. event.groups.v1 of (group_id, record_id, at): score is the share of possible pairs that were found; 1 for a single member or without pairs."""
+def emit_event_groups(groups: DataFrame, n_pairs: DataFrame | None = None) -> DataFrame:
+    """GRP-04. event.groups.v1 of (group_id, record_id, at): score is the share of possible pairs that were found, by n_pairs(group_id, n_pairs); 1 for a single member or without n_pairs.
+
+    The record holds all its members by contract; group_members has them as rows, for groups that one row should not hold.
+    """
     g = groups.groupBy("group_id").agg(F.max("at").alias("created_at"), F.sort_array(F.collect_set("record_id")).alias("member_refs"))
     n = F.size("member_refs")
-    if pairs is None:
+    if n_pairs is None:
         score = F.lit(1.0)
     else:
-        found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(groups.select(F.col("record_id").alias("a"), "group_id"), "a").groupBy("group_id").agg(F.count("*").alias("n_pairs"))
-        g = g.join(found, "group_id", "left")
-        score = F.when(n == 1, 1.0).otherwise(F.coalesce(F.col("n_pairs"), F.lit(0)) / (n * (n - 1) / 2))
+        g = g.join(n_pairs, "group_id", "left")
+        score = F.when(n == 1, 1.0).otherwise(F.coalesce(F.col("n_pairs"), F.lit(0)) / (n.cast("double") * (n - 1) / 2))
     return g.select("group_id", "created_at", "member_refs", score.alias("score"), F.concat(n.cast("string"), F.lit(" records")).alias("reason"), F.lit(None).cast("string").alias("attributes"))
 
 
+def group_members(groups: DataFrame) -> DataFrame:
+    """GRP-04 by rows: (group_id, member_ref), each once."""
+    return groups.select("group_id", F.col("record_id").alias("member_ref")).distinct()
+
+
 def topology_neighbors(edges: DataFrame) -> DataFrame:
     """LOC-01. (node, neighbors): both directions, sorted."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("n")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("n")))
@@ -67,20 +92,42 @@ def topology_path(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
     return components.shortest_paths(edges, roots, max_depth)
 
 
-def localize(members: DataFrame, paths: DataFrame, near: DataFrame) -> DataFrame:
-    """LOC-03. Of (ref_id, kind, id): the most frequent entity of each group (ties by kind, id), its share, path from the root and neighbours."""
+def entity_of(kind: Column, id: Column, name: Column | None = None, labels: Column | None = None) -> Column:
+    """An entity of the contracts: kind, id, name, labels."""
+    return F.struct(kind.alias("kind"), id.cast("string").alias("id"), (name if name is not None else F.lit(None)).cast("string").alias("name"), (labels if labels is not None else F.lit(None)).cast("map<string,string>").alias("labels"))
+
+
+def localize(members: DataFrame, paths: DataFrame, near: DataFrame, at: str) -> DataFrame:
+    """LOC-03. event.localized.v1 of members(ref_id, kind, id): primary is the most frequent entity of each group (ties by
+    kind, id), confidence its share, with its path from the root and its neighbours; attributes count the group's entities.
+
+    The nodes of paths(node, path) and near(node, neighbors) are ids of entities of kind service; an entity that the
+    topology lacks is its own path.
+    """
     n = members.groupBy("ref_id", "kind", "id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("ref_id")
-    best = n.withColumns({"total": F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), "kind", "id"))}).where("r = 1")
-    met = best.join(paths.select(F.col("node").alias("id"), "path"), "id", "left").join(near.withColumnRenamed("node", "id"), "id", "left")
-    return met.select("ref_id", "kind", "id", (F.col("n") / F.col("total")).alias("confidence"), F.coalesce("path", F.array("id")).alias("path"), F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
+    best = n.groupBy("ref_id").agg(F.sum("n").alias("total"), F.count("*").alias("n_entities"), F.min(F.struct((-F.col("n")).alias("least"), "kind", "id")).alias("b"))
+    met = best.withColumn("node", F.col("b.id")).join(paths.select("node", "path"), "node", "left").join(near.select("node", "neighbors"), "node", "left")
+    nodes = lambda c: F.transform(c, lambda x: entity_of(F.lit("service"), x))
+    primary = entity_of(F.col("b.kind"), F.col("b.id"))
+    location = F.struct(primary.alias("primary"), F.coalesce(nodes(F.col("path")), F.array(primary)).alias("path"), F.coalesce(nodes(F.col("neighbors")), F.filter(F.array(primary), lambda x: F.lit(False))).alias("neighbors"))
+    return met.select(F.col("ref_id").cast("string").alias("ref_id"), F.lit(at).cast("timestamp").alias("localized_at"), location.alias("location"), (-F.col("b.least") / F.col("total")).alias("confidence"), F.to_json(F.struct(F.col("total").alias("mentions"), F.col("n_entities").alias("entities"))).alias("attributes"))
 
 
 def derive_stories(members: DataFrame) -> DataFrame:
-    """STO-01. Of (group_id, record_id, at, severity, source, kind, id): worst severity, all entities and records of each group."""
+    """STO-01. derived.stories.v1 of (group_id, record_id, at, severity, source, kind, id): title and severity by the worst
+    member, all records and entities of each group, a summary of how many and since when, the first source as a label.
+
+    The record holds its evidence by contract; incidents.group_members has a group's records as rows.
+    """
     worst = F.max(F.struct(severity_rank(F.col("severity")).alias("r"), "severity"))["severity"]
-    g = members.groupBy("group_id").agg(F.max("at").alias("created_at"), worst.alias("severity"), F.sort_array(F.collect_set("record_id")).alias("evidence_refs"), F.sort_array(F.collect_set(F.concat_ws(":", "kind", "id"))).alias("entities"), F.min("source").alias("first_source"))
-    return g.select(F.concat(F.lit("story-"), F.col("group_id")).alias("story_id"), "created_at", F.concat(F.col("severity"), F.lit(" in "), F.col("first_source")).alias("title"), "severity", "evidence_refs", "entities")
+    entities = F.sort_array(F.collect_set(F.struct("kind", F.col("id").cast("string").alias("id"))))
+    g = members.groupBy("group_id").agg(F.max("at").alias("created_at"), F.min("at").alias("first_at"), worst.alias("severity"), F.sort_array(F.collect_set("record_id")).alias("evidence_refs"), entities.alias("e"), F.min("source").alias("source"), F.count_distinct("source").alias("n_sources"))
+    n = F.size("evidence_refs")
+    summary = F.concat(n.cast("string"), F.lit(" records of "), F.size("e").cast("string"), F.lit(" entities since "), F.date_format("first_at", "yyyy-MM-dd HH:mm:ss"))
+    return g.select(
+        F.concat(F.lit("story-"), F.col("group_id")).alias("story_id"), "created_at", F.concat(F.col("severity"), F.lit(" in "), F.col("source")).alias("title"), summary.alias("summary"), "severity", "evidence_refs",
+        F.transform("e", lambda x: entity_of(x["kind"], x["id"])).alias("entities"), F.create_map(F.lit("source"), F.col("source")).alias("labels"), F.to_json(F.struct(n.alias("records"), F.col("n_sources").alias("sources"))).alias("attributes"),
+    )
 
 
 def rate_anomalies(logs: DataFrame, width: str, lookback: int, z: float) -> DataFrame:
@@ -93,7 +140,7 @@ def rate_anomalies(logs: DataFrame, width: str, lookback: int, z: float) -> Data
 
 def value_anomalies(logs: DataFrame, z: float) -> DataFrame:
     """ANO-02. Of (id, source, value): robust z (0.6745 deviations over the median absolute deviation) at or beyond z."""
-    m = logs.join(components.cut(group_medians(logs, ["source"], "value", "med")), "source").withColumn("dev", F.abs(F.col("value") - F.col("med")))
+    m = logs.join(cut(group_medians(logs, ["source"], "value", "med")), "source").withColumn("dev", F.abs(F.col("value") - F.col("med")))
     out = m.join(group_medians(m, ["source"], "dev", "mad"), "source").withColumn("z", F.when(F.col("mad") > 0, 0.6745 * (F.col("value") - F.col("med")) / F.col("mad")))
     return out.where(F.abs("z") >= z).select("id", "source", "value", "z")
 
@@ -123,14 +170,26 @@ def emit_log_anomalies(found: DataFrame, detector: str) -> DataFrame:
 
 
 def embed_text(df: DataFrame, col: str, dim: int = 256) -> DataFrame:
-    """SIM-01. df with embedding: hashed TF-IDF of column col as a unit vector (zero for no words), and model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    """SIM-01. df with embedding: hashed TF-IDF of column col as a unit vector (zero for no words), and model.
 
-    words = df.withColumn("_w", F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\W+"), lambda x: x != ""))
-    fitted = Pipeline(stages=[HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_x"), Normalizer(inputCol="_x", outputCol="_u")]).fit(words)
-    return fitted.transform(words).withColumn("embedding", vector_to_array("_u")).withColumn("model", F.lit(f"hashed-tfidf-{dim}")).drop("_w", "_tf", "_x", "_u")
+    A word's place is the first 32 bits of its MD5, modulo dim; the weight of a place is ln((rows + 1) / (rows with it + 1)).
+    Rows stay where they are; what is gathered is one number a place.
+    """
+    word = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\W+"), lambda x: x != "")
+    place = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    hashed = df.withColumn("_b", once(F.sort_array(F.transform(word, place))))
+    known = hashed.select(F.explode(F.array_distinct("_b")).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
+    n, rows = {r["b"]: r["n"] for r in known}, df.count()
+    weight = F.lit([math.log((rows + 1) / (n.get(i, 0) + 1)) for i in range(dim)])
+    # of the sorted places, the distinct ones and where each begins; then how often each stands there
+    hashed = hashed.withColumn("_d", once(F.array_distinct("_b"))).withColumn("_p", once(F.transform("_d", lambda x: F.array_position("_b", x))))
+    tf = F.zip_with("_p", F.concat(F.slice("_p", F.lit(2), F.greatest(F.size("_p"), F.lit(1))), F.array(F.size("_b").cast("long") + 1)), lambda p, q: q - p)
+    hashed = hashed.withColumn("_x", once(F.when(F.size("_d") > 0, F.zip_with("_d", tf, lambda i, c: c * F.get(weight, i))).otherwise(F.array().cast("array<double>"))))
+    size = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x))
+    hashed = hashed.withColumn("_s", size)
+    at = lambda i: F.coalesce(F.get("_x", F.array_position("_d", i.cast("int")).cast("int") - 1) / F.col("_s"), F.lit(0.0))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("_s") > 0, at(i)).otherwise(0.0))
+    return hashed.withColumn("embedding", dense).withColumn("model", F.lit(f"hashed-tfidf-{dim}")).drop("_b", "_d", "_p", "_x", "_s")
 
 
 def similar_topk(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -152,6 +211,8 @@ def similar_topk_approx(df: DataFrame, queries: DataFrame, k: int, max_distance:
 
 
 def emit_similar_incidents(top: DataFrame, model: str, at: str) -> DataFrame:
-    """SIM-04. similar.incidents.v1 of (ref_id, id, score, rank): k neighbours a record at most, by score, which is clamped to [0, 1]."""
-    n = F.struct(F.col("rank"), F.col("id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"), F.lit("cosine").alias("rationale"))
-    return top.groupBy("ref_id").agg(F.sort_array(F.collect_list(n)).alias("neighbors")).select("ref_id", F.lit(at).cast("timestamp").alias("computed_at"), F.lit(model).alias("model"), F.transform("neighbors", lambda x: x.dropFields("rank")).alias("neighbors"))
+    """SIM-04. similar.incidents.v1 of (ref_id, id, score, rank): k neighbours a record at most, by score, which is clamped to [0, 1]; features of a neighbour are its rank and unclamped score."""
+    features = F.to_json(F.struct("rank", F.round("score", 6).alias("cosine")))
+    n = F.struct(F.col("rank"), F.col("id").cast("string").alias("id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"), F.lit("cosine").alias("rationale"), features.alias("features"))
+    g = top.groupBy("ref_id").agg(F.sort_array(F.collect_list(n)).alias("neighbors"))
+    return g.select(F.col("ref_id").cast("string").alias("ref_id"), F.lit(at).cast("timestamp").alias("computed_at"), F.lit(model).alias("model"), F.transform("neighbors", lambda x: x.dropFields("rank")).alias("neighbors"), F.to_json(F.struct(F.size("neighbors").alias("k"))).alias("attributes"))

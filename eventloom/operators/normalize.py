@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas
+from ..functions.scans import Scan
 
 
 def _project(raw: DataFrame, topic: str, mapping: dict[str, Column]) -> DataFrame:
@@ -52,11 +52,11 @@ def entity_profile(mentions: DataFrame, time_col: str) -> DataFrame:
 
 
 def entity_timeline(*tables: DataFrame) -> DataFrame:
-    """NRM-07. Mentions (kind, id, topic, record_id, time) of several topics in time order, numbered within each entity."""
+    """NRM-07. Mentions (kind, id, topic, record_id, time) of several topics in time order, numbered within each entity; an entity with most of the rows is numbered in even parts."""
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy("kind", "id").orderBy("time", "topic", "record_id")))
+    return Scan(out, ["kind", "id"], ["time", "topic", "record_id"]).values(number="seq").result()
 
 
 def filter_labels(df: DataFrame, selector: dict[str, str], own: str | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import once
+from ..functions.scratch import cut
 from ..functions.vectors import block_topk
 from . import components
+from .lexical import lexical_search  # noqa: F401
 
 #: Boost of a result's kind in a search mode; fixed values of the search contract. Any other pair has none.
 BOOSTS = {
@@ -18,10 +19,6 @@ BOOSTS = {
 }
 
 
-def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
 def score_parts(docs: DataFrame, q: str, mode: str = "blended", boosts: dict[str, dict[str, float]] = BOOSTS) -> DataFrame:
     """SEA-09. docs(id, kind, title, snippet, score) with why: base, match and boost beside the score."""
     text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("snippet", F.lit(""))))
@@ -40,30 +37,17 @@ def search(docs: DataFrame, q: str, mode: str = "blended", position: str = "id",
     return out.orderBy(F.desc("score"), position)
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """SEA-02. Top k of docs(doc_id, text) for queries(query_id, text) by BM25 (rounded to 9 places, so that equal texts tie), ties by id. Term counts are joined to query terms, so rare terms cost little."""
-    d = docs.select("doc_id", once(tokens(F.col("text"))).alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    tf = d.join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    s = tf.join(df, "term").join(F.broadcast(stats)).join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))  # stats is one row
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-
-
 def vector_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """SEA-03. Top k of docs(id, embedding) for queries(query_id, q) by cosine, ties by id."""
     return block_topk(docs, queries, k)
 
 
 def hybrid_search(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """SEA-04. Reciprocal rank fusion of rankings (query_id, id, rank): sum of 1 / (constant + rank), ties by id."""
+    """SEA-04. Reciprocal rank fusion of rankings (query_id, id, rank): sum of 1 / (constant + rank) to 12 places, ties by id."""
     rows = rankings[0].select("query_id", "id", "rank")
     for r in rankings[1:]:
         rows = rows.unionByName(r.select("query_id", "id", "rank"))
-    s = rows.groupBy("query_id", "id").agg(F.sum(1 / (constant + F.col("rank"))).alias("score"))
+    s = rows.groupBy("query_id", "id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 12).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
@@ -131,11 +115,54 @@ def ingest_documents(batch: DataFrame, store: DataFrame) -> DataFrame:
     return met.select("id", F.when(take, F.col("n")).otherwise(F.col("o")).alias("x"), F.when(F.col("o").isNull(), "insert").when(take, "update").otherwise("keep").alias("action")).select("id", "x.*", "action")
 
 
-def semantic_graph(mentions: DataFrame, most: int | None = None) -> DataFrame:
-    """SEA-16. (src, dst, weight): documents that mention both entities, of mentions(doc_id, entity). Pairs are of one document's distinct entities; a document's entities are few."""
-    m = mentions.select("doc_id", "entity").distinct()
-    met = m.withColumnRenamed("entity", "src").join(m.withColumnRenamed("entity", "dst"), "doc_id").where("src < dst")
-    return met.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+def ingest_into(batch: DataFrame, path: str, parts: int = 64) -> DataFrame:
+    """SEA-15. Puts a batch (id, text, version) into the store (id, text, version, hash) at path, which is laid out in parts by
+    the hash of the id. Only parts that the batch touches are read, and only those in which a document changes are written
+    again. Returns (id, action) of the batch's documents. A batch that runs again changes nothing."""
+    spark = batch.sparkSession
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    batch = cut(batch.select("id", "text", "version"))
+    touched = [r["part"] for r in batch.select(part("id").alias("part")).distinct().collect()]  # parts numbers at most
+    shape = f"id {batch.schema['id'].dataType.simpleString()}, text string, version {batch.schema['version'].dataType.simpleString()}, hash string, part int"
+    store = (spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)).where(F.col("part").isin(touched))
+    after = cut(ingest_documents(batch, store).withColumn("part", part("id")))
+    changed = [r["part"] for r in after.where("action <> 'keep'").select("part").distinct().collect()]
+    if changed:
+        rows = after.where(F.col("part").isin(changed)).drop("action")
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return after.join(batch.select("id").distinct(), "id", "left_semi").select("id", "action")
+
+
+TILE = 256  # entities of a document that meet as many others in one task
+
+
+def co_mentions(mentions: DataFrame) -> DataFrame:
+    """(doc_id, src, dst) of each pair of a document's distinct entities, src before dst, of mentions(doc_id, entity).
+
+    A document's entities are dealt to tiles of about TILE, and each pair of tiles is a join key of its own: the largest
+    document gives many keys of one size, and a document of up to TILE entities is one key.
+    """
+    m = mentions.select("doc_id", "entity").where("doc_id IS NOT NULL AND entity IS NOT NULL").distinct()
+    n = m.groupBy("doc_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    m = m.join(n, "doc_id").withColumn("tile", F.pmod(F.xxhash64("entity"), F.col("tiles")).cast("int"))
+    left = m.select("doc_id", F.col("tile").alias("a"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("b"), F.col("entity").alias("x"))
+    right = m.select("doc_id", F.explode(F.sequence(F.lit(0), "tile")).alias("a"), F.col("tile").alias("b"), F.col("entity").alias("y"))
+    met = left.join(right, ["doc_id", "a", "b"]).where("a < b OR x < y")
+    return met.select("doc_id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
+def semantic_graph(mentions: DataFrame) -> DataFrame:
+    """SEA-16. (src, dst, weight): how many documents mention both entities, of mentions(doc_id, entity). Each task adds up its tiles before weights are shuffled."""
+    return co_mentions(mentions).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def graph_ranking(edges: DataFrame, queries: DataFrame, hops: int, k: int) -> DataFrame:
+    """(query_id, id, rank) of the nodes within some hops of queries(query_id), nearest first, ties by id, themselves left out: the graph's part in SEA-04."""
+    near = components.k_hop(edges, queries.select(F.col("query_id").alias("seed")), hops).where("distance > 0")
+    r = near.select(F.col("seed").alias("query_id"), F.col("node").alias("id"), F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node")).alias("rank"))
+    return r.where(F.col("rank") <= k)
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:

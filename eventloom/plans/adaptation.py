@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_folder, remove_at_end
 from ..operators import adaptation as ad
 from . import views as v
 
@@ -262,10 +263,10 @@ def adp26_artifact_lineage(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT 's' || s_suppkey AS artifact, 'n' || s_nationkey AS ancestor, 1 AS distance FROM supplier UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation),
-  m AS (SELECT 'n' || c_nationkey AS ancestor, 'run-' || c_custkey AS run_id, 'balance' AS metric, c_acctbal AS value FROM customer WHERE c_custkey % 20 = 0)
+  m AS (SELECT 'n' || c_nationkey AS ancestor, 'run-' || c_custkey AS run_id, 'balance' AS metric, c_acctbal AS value FROM customer)
   SELECT l.*, run_id, metric, value FROM l LEFT JOIN m USING (ancestor)""")
 def adp26_lineage_metrics(spark, sf_dir):
-    runs = v.table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("artifact"), F.concat(F.lit("run-"), F.col("c_custkey")).alias("run_id"), F.lit("balance").alias("metric"), F.col("c_acctbal").alias("value"))
+    runs = v.table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("artifact"), F.concat(F.lit("run-"), F.col("c_custkey")).alias("run_id"), F.lit("balance").alias("metric"), F.col("c_acctbal").alias("value"))
     return ad.artifact_lineage(v.edges(spark, sf_dir).select(F.col("dst").alias("artifact"), F.col("src").alias("input")), runs)
 
 
@@ -303,7 +304,22 @@ def adp30_plan_objective_met(spark, sf_dir):
     return ad.plan_objective_met(d.select("program", "metric", "delta"), plans).select("plan_id", F.round("gain", 3).alias("gain"), "met")
 
 
-@query(f"WITH m AS ({MEMBERS}), e AS (SELECT vec_id AS doc_id, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) SELECT topic_id, dim, round(sum(x * membership) / sum(membership), 5) AS x FROM m JOIN e USING (doc_id) GROUP BY topic_id, dim")
-def adp31_topic_centroids(spark, sf_dir):
+CENTROIDS = f"WITH m AS ({MEMBERS}), e AS (SELECT vec_id AS doc_id, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) SELECT topic_id, dim, round(sum(x * membership) / sum(membership), 5) AS x FROM m JOIN e USING (doc_id) GROUP BY topic_id, dim"
+
+
+def _centroids(spark, sf_dir):
     e = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return ad.topic_centroids(_membership(spark, sf_dir).withColumnRenamed("doc_id", "id"), e).withColumn("x", F.round("x", 5))
+    return ad.topic_centroids(_membership(spark, sf_dir).withColumnRenamed("doc_id", "id"), e)
+
+
+@query(CENTROIDS)
+def adp31_topic_centroids(spark, sf_dir):
+    return _centroids(spark, sf_dir).withColumn("x", F.round("x", 5))
+
+
+@query(f"SELECT topic_id, 'space-1/' || topic_id AS ref, CAST(dim AS INTEGER) AS dim, x FROM ({CENTROIDS})")
+def adp31_centroid_refs(spark, sf_dir):
+    """The centroids stored as a topic space, and read again through their references."""
+    path = remove_at_end(spark, new_folder(spark, "centroids"))
+    found = ad.read_centroids(spark, ad.store_centroids(_centroids(spark, sf_dir), path, "space-1"))
+    return found.select("topic_id", F.substring_index("centroid_embedding_ref", "#", -1).alias("ref"), F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 5))

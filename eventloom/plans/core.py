@@ -162,12 +162,12 @@ def nrm06_entity_profile(spark, sf_dir):
     return normalize.entity_profile(v.mentions(spark, sf_dir), "observed_at").withColumns({"first_seen": v.stamp("first_seen"), "last_seen": v.stamp("last_seen")})
 
 
-@query(f"""WITH t AS (SELECT kind, id, 'logs' AS topic, record_id, observed_at FROM ({v.MENTIONS}) WHERE kind = 'user' UNION ALL SELECT 'user', usr, 'alerts', alert_id, observed_at FROM ({v.ALERTS}))
+@query(f"""WITH t AS (SELECT kind, id, 'logs' AS topic, record_id, observed_at FROM ({v.MENTIONS}) UNION ALL SELECT 'user', usr, 'alerts', alert_id, observed_at FROM ({v.ALERTS}))
   SELECT kind, id, topic, record_id, CAST(row_number() OVER (PARTITION BY kind, id ORDER BY observed_at, topic, record_id) AS INTEGER) AS seq FROM t""")
 def nrm07_entity_timeline(spark, sf_dir):
-    a = v.mentions(spark, sf_dir).where("kind = 'user'").select("kind", "id", F.lit("logs").alias("topic"), "record_id", F.col("observed_at").alias("time"))
+    a = v.mentions(spark, sf_dir).select("kind", "id", F.lit("logs").alias("topic"), "record_id", F.col("observed_at").alias("time"))
     b = normalize.explode_entities(v.alerts(spark, sf_dir), "alert_id", "observed_at").select("kind", "id", F.lit("alerts").alias("topic"), "record_id", F.col("observed_at").alias("time"))
-    return normalize.entity_timeline(a, b).drop("time")
+    return normalize.entity_timeline(a, b).drop("time").withColumn("seq", F.col("seq").cast("int"))
 
 
 @query("SELECT 'log-' || event_id AS log_id FROM events WHERE user_id % 3 = 0 AND event_type = 'click'")

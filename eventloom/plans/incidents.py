@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contenders, incidents
+from ..schemas import columns
 from . import views as v
 
 Q, SQL = {}, {}
@@ -21,13 +22,14 @@ def query(sql: str | None = None):
 
 
 GAP = 3600
-M = f"SELECT log_id AS record_id, 'user' AS kind, usr AS id, observed_at AS tm, severity, rank, source FROM ({v.LOGS})"
-G = f"SELECT *, 'user:' || id || ':' || sum(new) OVER (PARTITION BY id ORDER BY tm, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS group_id FROM (SELECT *, CASE WHEN epoch_us(tm) - lag(epoch_us(tm)) OVER (PARTITION BY id ORDER BY tm, record_id) > {GAP * 1_000_000} THEN 1 ELSE 0 END AS new FROM ({M}))"
-PAIRS = f"SELECT x.record_id AS a, y.record_id AS b, x.kind, x.id FROM ({M}) x JOIN ({M}) y ON x.id = y.id AND epoch_us(y.tm) - epoch_us(x.tm) BETWEEN 0 AND {GAP * 1_000_000} AND (y.tm > x.tm OR x.record_id < y.record_id)"
+M = f"SELECT record_id, kind, id, observed_at AS tm, severity, rank, source FROM ({v.MENTIONS})"
+G = f"SELECT *, kind || ':' || id || ':' || sum(new) OVER (PARTITION BY kind, id ORDER BY tm, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS group_id FROM (SELECT *, CASE WHEN epoch_us(tm) - lag(epoch_us(tm)) OVER (PARTITION BY kind, id ORDER BY tm, record_id) > {GAP * 1_000_000} THEN 1 ELSE 0 END AS new FROM ({M}))"
+PAIRS = f"SELECT x.record_id AS a, y.record_id AS b, x.kind, x.id FROM ({M}) x JOIN ({M}) y ON x.kind = y.kind AND x.id = y.id AND epoch_us(y.tm) - epoch_us(x.tm) BETWEEN 0 AND {GAP * 1_000_000} AND (y.tm > x.tm OR x.record_id < y.record_id)"
+STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def _m(spark, sf_dir):
-    return v.mentions(spark, sf_dir).where("kind = 'user'").withColumnRenamed("observed_at", "at")
+    return v.mentions(spark, sf_dir).withColumnRenamed("observed_at", "at")
 
 
 def _groups(spark, sf_dir):
@@ -35,6 +37,18 @@ def _groups(spark, sf_dir):
     return g.withColumn("group_id", F.concat_ws(":", "kind", "id", F.col("group_no").cast("string")))
 
 
+def _shown(entities):
+    """kind:id of each entity, joined."""
+    return F.array_join(F.transform(entities, lambda e: F.concat_ws(":", e["kind"], e["id"])), ",")
+
+
+def _valid(df, topic):
+    """The rows that hold the topic's contract, all of its columns in order."""
+    from ..operators.validate import validate
+
+    return validate(df.select(*columns(topic)), topic)[0]
+
+
 @query(PAIRS)
 def grp01_correlate_pairs(spark, sf_dir):
     return incidents.correlate_pairs(_m(spark, sf_dir), GAP)
@@ -45,16 +59,25 @@ def grp02_group_by_gap(spark, sf_dir):
     return _groups(spark, sf_dir).select("record_id", "group_id")
 
 
-@query(f"SELECT node, min(node) OVER (PARTITION BY group_id) AS component FROM (SELECT record_id AS node, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM ({G})) WHERE n > 1")
+def _rounds(n: int) -> str:
+    """Smallest label over groups and their records, n times; groups are whole chains, so few rounds do."""
+    out = "l0 AS MATERIALIZED (SELECT record_id, min(record_id) AS c FROM e GROUP BY record_id)"
+    for i in range(1, n + 1):
+        out += f", l{i} AS MATERIALIZED (SELECT e.record_id, min(g.c) AS c FROM e JOIN (SELECT e.group_id, min(l{i - 1}.c) AS c FROM e JOIN l{i - 1} USING (record_id) GROUP BY e.group_id) g USING (group_id) GROUP BY e.record_id)"
+    return out
+
+
+@query(f"WITH e AS MATERIALIZED (SELECT record_id, group_id FROM (SELECT record_id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM ({G})) WHERE n > 1), {_rounds(24)} SELECT record_id AS node, c AS component FROM l24")
 def grp03_group_components(spark, sf_dir):
     return incidents.group_components(incidents.consecutive_pairs(_m(spark, sf_dir), GAP))
 
 
-@query(f"""WITH g AS ({G}), p AS ({PAIRS}), n AS (SELECT group_id, count(*) AS np FROM p JOIN g ON least(p.a, p.b) = g.record_id GROUP BY group_id)
-  SELECT g.group_id, strftime(max(tm), '%Y-%m-%d %H:%M:%S') AS created_at, string_agg(record_id, ',' ORDER BY record_id) AS members, round(CASE WHEN count(*) = 1 THEN 1.0 ELSE coalesce(max(np), 0) / (count(*) * (count(*) - 1) / 2.0) END, 6) AS score FROM g LEFT JOIN n USING (group_id) GROUP BY g.group_id""")
+@query(f"""WITH g AS ({G}), p AS ({PAIRS}), n AS (SELECT group_id, count(*) AS np FROM p JOIN g ON p.a = g.record_id AND p.kind = g.kind AND p.id = g.id GROUP BY group_id)
+  SELECT g.group_id, {STAMP.format("max(tm)")} AS created_at, string_agg(record_id, ',' ORDER BY record_id) AS members, round(CASE WHEN count(*) = 1 THEN 1.0 ELSE coalesce(max(np), 0) / (count(*) * (count(*) - 1) / 2.0) END, 6) AS score, count(*) || ' records' AS reason, CAST(NULL AS VARCHAR) AS attributes FROM g LEFT JOIN n USING (group_id) GROUP BY g.group_id""")
 def grp04_emit_event_groups(spark, sf_dir):
-    out = incidents.emit_event_groups(_groups(spark, sf_dir), incidents.correlate_pairs(_m(spark, sf_dir), GAP))
-    return out.select("group_id", v.stamp("created_at").alias("created_at"), F.array_join("member_refs", ",").alias("members"), F.round("score", 6).alias("score"))
+    g = _groups(spark, sf_dir)
+    out = _valid(incidents.emit_event_groups(g, incidents.count_pairs(g, GAP)), "event.groups.v1")
+    return out.select("group_id", v.stamp("created_at").alias("created_at"), F.array_join("member_refs", ",").alias("members"), F.round("score", 6).alias("score"), "reason", "attributes")
 
 
 @query(f"SELECT node, string_agg(n, ',' ORDER BY n) AS neighbors FROM (SELECT src AS node, dst AS n FROM ({v.EDGES}) UNION SELECT dst, src FROM ({v.EDGES})) GROUP BY node")
@@ -68,20 +91,23 @@ def loc02_topology_path(spark, sf_dir):
     return incidents.topology_path(v.edges(spark, sf_dir), roots, 5).withColumn("path", F.array_join("path", ">"))
 
 
-@query(f"""WITH m AS (SELECT l_orderkey, 's' || l_suppkey AS id FROM lineitem), n AS (SELECT l_orderkey, id, count(*) AS n FROM m GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey) AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, id) AS r FROM n),
-  e AS ({v.EDGES}) SELECT 'o' || l_orderkey AS ref_id, b.id, round(n / total, 6) AS confidence, e.src AS near, 'r' || n_regionkey || '>' || e.src || '>' || b.id AS path FROM b JOIN e ON b.id = e.dst JOIN nation ON e.src = 'n' || n_nationkey WHERE r = 1""")
+@query(f"""WITH m AS (SELECT l_orderkey, 's' || l_suppkey AS id FROM lineitem), n AS (SELECT l_orderkey, id, count(*) AS n FROM m GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, id) AS r FROM n),
+  e AS ({v.EDGES}) SELECT 'o' || l_orderkey AS ref_id, '2024-02-01 00:00:00' AS localized_at, 'service:' || b.id AS "primary", round(n / total, 6) AS confidence, 'service:' || e.src AS near, 'service:r' || n_regionkey || ',service:' || e.src || ',service:' || b.id AS path, '{{"mentions":' || CAST(total AS BIGINT) || ',"entities":' || k || '}}' AS attributes
+  FROM b JOIN e ON b.id = e.dst JOIN nation ON e.src = 'n' || n_nationkey WHERE r = 1""")
 def loc03_localize(spark, sf_dir):
     members = v.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("ref_id"), F.lit("service").alias("kind"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("id"))
     roots = v.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("start"))
     e = v.edges(spark, sf_dir)
-    out = incidents.localize(members, incidents.topology_path(e, roots, 5), incidents.topology_neighbors(e))
-    return out.select("ref_id", "id", F.round("confidence", 6).alias("confidence"), F.array_join("neighbors", ",").alias("near"), F.array_join("path", ">").alias("path"))
+    out = _valid(incidents.localize(members, incidents.topology_path(e, roots, 5), incidents.topology_neighbors(e), "2024-02-01"), "event.localized.v1")
+    main = F.concat_ws(":", "location.primary.kind", "location.primary.id")
+    return out.select("ref_id", v.stamp("localized_at").alias("localized_at"), main.alias("primary"), F.round("confidence", 6).alias("confidence"), _shown(F.col("location.neighbors")).alias("near"), _shown(F.col("location.path")).alias("path"), "attributes")
 
 
-@query(f"""WITH g AS ({G}) SELECT 'story-' || group_id AS story_id, arg_max(severity, rank) || ' in ' || min(source) AS title, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS refs, string_agg(DISTINCT kind || ':' || id, ',' ORDER BY kind || ':' || id) AS entities FROM g GROUP BY group_id""")
+@query(f"""WITH g AS ({G}) SELECT 'story-' || group_id AS story_id, {STAMP.format("max(tm)")} AS created_at, arg_max(severity, rank) || ' in ' || min(source) AS title, arg_max(severity, rank) AS severity, count(*) || ' records of 1 entities since ' || {STAMP.format("min(tm)")} AS summary,
+  string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS refs, string_agg(DISTINCT kind || ':' || id, ',' ORDER BY kind || ':' || id) AS entities, min(source) AS source, '{{"records":' || count(*) || ',"sources":' || count(DISTINCT source) || '}}' AS attributes FROM g GROUP BY group_id""")
 def sto01_derive_stories(spark, sf_dir):
-    out = incidents.derive_stories(_groups(spark, sf_dir))
-    return out.select("story_id", "title", F.array_join("evidence_refs", ",").alias("refs"), F.array_join("entities", ",").alias("entities"))
+    out = _valid(incidents.derive_stories(_groups(spark, sf_dir)), "derived.stories.v1")
+    return out.select("story_id", v.stamp("created_at").alias("created_at"), "title", "severity", "summary", F.array_join("evidence_refs", ",").alias("refs"), _shown(F.col("entities")).alias("entities"), F.col("labels")["source"].alias("source"), "attributes")
 
 
 @query("""WITH n AS (SELECT event_type AS source, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd FROM n WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
@@ -127,9 +153,12 @@ TOPK = """WITH e AS (SELECT vec_id AS id, embedding AS x FROM embeddings), s AS
   r AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, id) AS rank FROM s) SELECT ref_id, id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 
 
-@query()
+@query("""WITH w AS (SELECT conv_id, turn, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+'))), 1, 8) AS BIGINT) % 256 AS dim FROM conversations), tf AS (SELECT conv_id, turn, dim, count(*) AS tf FROM w GROUP BY ALL), i AS (SELECT dim, ln(((SELECT count(*) FROM conversations) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY dim),
+  x AS (SELECT conv_id, turn, dim, tf * idf AS x FROM tf JOIN i USING (dim)) SELECT conv_id, turn, 'hashed-tfidf-256' AS model, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)), 6) AS x FROM x QUALIFY round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)), 6) <> 0""")
 def sim01_embed_text(spark, sf_dir):
-    return incidents.embed_text(v.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", 64).select("conv_id", "turn", "model", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    """The components of the vectors that are not zero."""
+    out = incidents.embed_text(v.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+    return out.select("conv_id", "turn", "model", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6)).where("x <> 0")
 
 
 @query(TOPK)
@@ -145,11 +174,13 @@ def sim03_similar_topk_approx(spark, sf_dir):
     return incidents.similar_topk_approx(d, d.where("id % 50 = 0"), 5, 1.3, bucket=4.0, tables=8)
 
 
-@query(f"SELECT ref_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS neighbors FROM ({TOPK}) GROUP BY ref_id")
+@query(f"""SELECT CAST(ref_id AS VARCHAR) AS ref_id, '2024-01-01 00:00:00' AS computed_at, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS neighbors, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS ranks, round(sum(score), 3) AS total, '{{"k":' || count(*) || '}}' AS attributes FROM ({TOPK}) GROUP BY ref_id""")
 def sim04_emit_similar_incidents(spark, sf_dir):
     d = _vectors(spark, sf_dir)
-    out = incidents.emit_similar_incidents(incidents.similar_topk(d, d.where("id % 50 = 0"), 5), "vectors", "2024-01-01")
-    return out.select("ref_id", F.array_join(F.transform("neighbors", lambda x: x["id"].cast("string")), ",").alias("neighbors"))
+    out = _valid(incidents.emit_similar_incidents(incidents.similar_topk(d, d.where("id % 50 = 0"), 5), "vectors", "2024-01-01"), "similar.incidents.v1")
+    each = lambda f: F.array_join(F.transform("neighbors", f), ",")
+    total = F.aggregate("neighbors", F.lit(0.0), lambda s, n: s + F.round(n["score"], 5))
+    return out.select("ref_id", v.stamp("computed_at").alias("computed_at"), each(lambda x: x["id"]).alias("neighbors"), each(lambda x: F.get_json_object(x["features"], "$.rank")).alias("ranks"), F.round(total, 3).alias("total"), "attributes")
 
 
 @query("SELECT user_id AS doc_id, round(sum(value * (event_id % 2)) / greatest(sum(event_id % 2), 1), 6) AS x0, round(sum(event_id * (event_id % 2)) / greatest(sum(event_id % 2), 1), 6) AS x1 FROM events GROUP BY user_id")
@@ -188,7 +219,9 @@ def cce05_cosine_metric(spark, sf_dir):
     return contenders.cosine_metric(d, ["label"], "a", "b").withColumn("cosine", F.round("cosine", 5))
 
 
-@query()
+@query("""WITH t AS (SELECT role, text AS r, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations), w AS (SELECT role, list_filter(string_split_regex(coalesce(r, ''), '\\s+'), lambda x: x <> '') AS r, list_filter(string_split_regex(h, '\\s+'), lambda x: x <> '') AS h FROM t WHERE h IS NOT NULL),
+  e AS (SELECT role, len(r) AS words, list_reduce(r, lambda row, w: list_reduce(range(1, len(h) + 1), lambda done, j: list_append(done, least(done[-1] + 1, row[j + 1] + 1, row[j] + CASE WHEN h[j] = w THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, len(h) + 1))[-1] AS edits FROM w)
+  SELECT role, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(words) AS BIGINT) AS words, round(sum(edits) / greatest(sum(words), 1), 6) AS wer FROM e GROUP BY role""")
 def cce06_wer(spark, sf_dir):
     """Word error rate of each whole turn against the turn after it in its conversation, by role."""
     from pyspark.sql.window import Window

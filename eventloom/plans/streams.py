@@ -5,11 +5,9 @@ Only what the watermark has closed is emitted; the SQL keeps the same windows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_folder, remove_at_end
 from ..streaming import streams
 from . import views as v
 
@@ -27,12 +25,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="eventloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return remove_at_end(spark, new_folder(spark, "stream"))
 
 
 def _events(spark, sf_dir):

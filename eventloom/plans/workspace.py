@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_folder, remove_at_end
 from ..operators import fleet, search
 from . import views as v
 
@@ -41,10 +42,15 @@ def sea09_explain_ranking(spark, sf_dir):
     return out.select("id", F.round("why.base", 6).alias("base"), F.round("why.match", 6).alias("hit"), F.round("why.boost", 6).alias("boost"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(x) AS term, len(x) AS len FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS x FROM documents)), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
-  s AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS mean FROM documents), tf AS (SELECT doc_id, term, len, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term, len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+def _lexical(queries: str, k: int) -> str:
+    """(query_id, doc_id, score, rank) of BM25 over all documents for queries(query_id, text)."""
+    return f"""WITH w AS (SELECT doc_id, unnest(x) AS term, len(x) AS len FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS x FROM documents)), q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ({queries})),
+  s AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS mean FROM documents), tf AS (SELECT doc_id, term, len, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term, len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   r AS (SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY q.query_id, tf.doc_id)
-  SELECT query_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= {k}"""
+
+
+@query(f"SELECT query_id, doc_id, round(score, 5) AS score FROM ({_lexical('SELECT item_id AS query_id, text FROM benchmark', 10)})")
 def sea02_lexical_search(spark, sf_dir):
     q = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return search.lexical_search(v.table(spark, sf_dir, "documents").select("doc_id", "text"), q, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"))
@@ -63,19 +69,28 @@ def sea03_vector_search(spark, sf_dir):
     return search.vector_search(*_vq(spark, sf_dir), 5).withColumn("score", F.round("score", 5))
 
 
-@query(f"""WITH a AS (SELECT query_id, id, rank FROM ({VEC}) WHERE rank <= 20), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank FROM a), s AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query_id, id)
-  SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 5""")
-def sea04_hybrid_search(spark, sf_dir):
-    from pyspark.sql.window import Window
+#: Documents as a tree by halves of their ids, for the graph's part.
+LINKS = "SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id // 2 <> doc_id"
+_ASKED = "SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)"
 
-    a = search.vector_search(*_vq(spark, sf_dir), 20)
-    b = a.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id"))).alias("rank"))
-    return search.hybrid_search([a, b], 5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+@query(f"""WITH l AS (SELECT query_id, doc_id AS id, rank FROM ({_lexical(_ASKED, 20)})), a AS (SELECT query_id, id, rank FROM ({VEC}) WHERE rank <= 20), b AS (SELECT src, dst FROM ({LINKS}) UNION SELECT dst, src FROM ({LINKS})), o AS (SELECT query_id, dst AS node FROM ({_ASKED}) JOIN b ON src = query_id),
+  h AS (SELECT query_id, node, 1 AS d FROM o UNION ALL SELECT query_id, b.dst, 2 FROM o JOIN b ON b.src = o.node), g AS (SELECT query_id, node AS id, row_number() OVER (PARTITION BY query_id ORDER BY min(d), node) AS rank FROM h WHERE node <> query_id GROUP BY query_id, node QUALIFY rank <= 20),
+  s AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score, count(*) AS n FROM (SELECT * FROM l UNION ALL SELECT * FROM a UNION ALL SELECT * FROM g) GROUP BY query_id, id)
+  SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def sea04_hybrid_search(spark, sf_dir):
+    """Documents that have a vector and whose id is divisible by 50, against all documents: by their words, their vectors and their links."""
+    docs, (e, vq) = v.table(spark, sf_dir, "documents"), _vq(spark, sf_dir)
+    asked = docs.where("doc_id % 50 = 0").join(e.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+    links = docs.select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst")).where("src <> dst")
+    words = search.lexical_search(docs.select("doc_id", "text"), asked, 20).withColumnRenamed("doc_id", "id")
+    return search.hybrid_search([words, search.vector_search(e, vq, 20), search.graph_ranking(links, asked, 2, 20)], 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT 'kind' AS facet, kind AS value, count(*) AS n FROM ({DOCS}) GROUP BY kind UNION ALL SELECT 'source', source, count(*) FROM ({DOCS}) GROUP BY source")
+@query(f"""WITH d AS (SELECT kind, source, CASE source WHEN 'src0' THEN 'trusted' WHEN 'src1' THEN 'untrusted' ELSE 'mixed' END AS trust FROM ({DOCS})) SELECT 'kind' AS facet, kind AS value, count(*) AS n FROM d GROUP BY kind UNION ALL SELECT 'source', source, count(*) FROM d GROUP BY source UNION ALL SELECT 'trust', trust, count(*) FROM d GROUP BY trust""")
 def sea05_facets(spark, sf_dir):
-    return search.facets(_docs(spark, sf_dir), ["kind", "source"])
+    registry = spark.createDataFrame([("src0", "trusted"), ("src1", "untrusted")], "source string, trust string")
+    return search.facets(search.annotate_trust(_docs(spark, sf_dir), registry), ["kind", "source", "trust"])
 
 
 @query(f"SELECT id FROM ({DOCS}) ORDER BY coalesce(score, 0.5) DESC, id LIMIT 25 OFFSET 50")
@@ -133,7 +148,10 @@ def sea15_ingest_documents(spark, sf_dir):
     d = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     store = d.where("id % 2 = 0 OR id % 3 <> 0").withColumns({"version": F.lit(1), "hash": F.sha2(F.col("text").cast("binary"), 256)})
     batch = d.where("id % 2 = 1").withColumns({"text": F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "version": F.lit(2)})
-    return search.ingest_documents(batch, store).select("id", "action", "version")
+    folder = remove_at_end(spark, new_folder(spark, "store"))
+    search.ingest_into(store.drop("hash"), folder)
+    acted = search.ingest_into(batch, folder)
+    return spark.read.parquet(folder).join(acted, "id", "left").select("id", F.coalesce("action", F.lit("keep")).alias("action"), "version")
 
 
 @query("SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
@@ -200,10 +218,10 @@ def wsp04_task_contract(spark, sf_dir):
     return fleet.task_contract(r.select("name"), files, "build")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS batch, l_linenumber AS position, CASE WHEN l_returnflag = 'A' THEN 2 WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) % 3 ELSE 0 END AS c, l_partkey FROM lineitem) SELECT batch, coalesce(arg_max(c, position * 1000000 + l_partkey) FILTER (WHERE c <> 0), 0) AS exit_code, count(*) FILTER (WHERE c = 0) AS n_ok, count(*) FILTER (WHERE c <> 0) AS n_failed FROM r GROUP BY batch""")
+@query("""WITH r AS (SELECT l_orderkey AS batch, l_linenumber AS position, CASE WHEN l_returnflag = 'A' THEN 'missing' WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'no contract' ELSE 'ran' END AS outcome, CASE WHEN l_returnflag = 'A' OR (l_linestatus = 'O' AND l_linenumber = 7) THEN 2 WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) % 3 ELSE 0 END AS c, l_partkey FROM lineitem) SELECT batch, coalesce(arg_max(c, position * 1000000 + l_partkey) FILTER (WHERE c <> 0), 0) AS exit_code, count(*) FILTER (WHERE outcome = 'ran' AND c = 0) AS n_ok, count(*) FILTER (WHERE outcome = 'ran' AND c <> 0) AS n_failed, count(*) FILTER (WHERE outcome = 'missing') AS n_missing, count(*) FILTER (WHERE outcome = 'no contract') AS n_no_contract FROM r GROUP BY batch""")
 def wsp05_run_rollup(spark, sf_dir):
     li = v.table(spark, sf_dir, "lineitem")
-    out = F.when(F.col("l_returnflag") == "A", "missing").otherwise("ran")
+    out = F.when(F.col("l_returnflag") == "A", "missing").when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), "no contract").otherwise("ran")
     code = F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("int") % 3).otherwise(0)
     return fleet.run_rollup(li.select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("position"), out.alias("outcome"), code.alias("code")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -68,41 +69,92 @@ def stream_enrich(stream: DataFrame, topology: DataFrame, key: str) -> DataFrame
     return stream.join(topology, key, "left")
 
 
-def stream_recent(stream: DataFrame, n: int = 20) -> DataFrame:
-    """STR-08. Of (user, q, ts): each user's last n distinct trimmed queries, newest first, kept as state and emitted when it changes."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def _recent(n: int, ttl_ms: int | None):
+    """The state of one user: a list of (q, ts), newest first; what has not been written for ttl_ms is gone."""
+    from pyspark.sql.streaming import StatefulProcessor
 
-    def update(key: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
+    class Recent(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.last = handle.getListState("last", "q string, ts long", ttlDurationMs=ttl_ms)
 
-        have = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for pdf in batches:
-            for q, ts in zip(pdf["q"], pdf["ts"].astype("int64"), strict=True):
-                q = (q or "").strip(" ")
-                if q:
-                    have[q] = max(int(ts), have.get(q, int(ts)))
-        last = sorted(have.items(), key=lambda x: (-x[1], x[0]))[:n]
-        state.update(([q for q, _ in last], [t for _, t in last]))
-        yield pd.DataFrame({"user": [key[0]], "queries": [[q for q, _ in last]]})
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
+            import pandas as pd
 
-    return stream.groupBy("user").applyInPandasWithState(update, "user long, queries array<string>", "queries array<string>, times array<long>", "update", GroupStateTimeout.NoTimeout)
+            have = {q: t for q, t in self.last.get()} if self.last.exists() else {}
+            for pdf in rows:
+                for q, ts in zip(pdf["q"], pdf["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+                    q = (q or "").strip(" ")
+                    if q:
+                        have[q] = max(int(ts), have.get(q, int(ts)))
+            last = sorted(have.items(), key=lambda x: (-x[1], x[0]))[:n]
+            if last:
+                self.last.put(last)
+            yield pd.DataFrame({"user": [key[0]], "queries": [[q for q, _ in last]]})
+
+        def close(self) -> None:
+            pass
+
+    return Recent()
+
+
+def stream_recent(stream: DataFrame, n: int = 20, ttl_ms: int | None = None) -> DataFrame:
+    """STR-08. Of (user, q, ts): each user's last n distinct trimmed queries, newest first, kept as state and emitted when it changes.
+
+    With ttl_ms, the state of a user of whom nothing came for so long goes by itself; such a stream has a batch at every
+    trigger, so it runs until it is stopped, not availableNow. The state is kept in RocksDB, which this sets for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.groupBy("user").transformWithStateInPandas(_recent(n, ttl_ms), "user long, queries array<string>", "Update", "ProcessingTime" if ttl_ms else "None")
+
+
+class Top:
+    """The greatest event time of a stream's batches: one small file, replaced as a whole by renaming.
+
+    It holds the last batch, the greatest time with it and the one before it, so that a batch that runs again sees what it
+    saw the first time.
+    """
+
+    def __init__(self, spark, path: str):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = self.jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/top.json")
+        self.fs = self.path.getFileSystem(self.conf)
+
+    def read(self) -> dict:
+        if not self.fs.exists(self.path):
+            return {"batch": -1, "top": None, "before": None}
+        found = self.fs.open(self.path)
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8"))
+        finally:
+            found.close()
+
+    def before(self, batch: int) -> int | None:
+        now = self.read()
+        return now["before"] if now["batch"] == batch else now["top"]
+
+    def write(self, batch: int, top: int | None) -> None:
+        before = self.before(batch)
+        new = self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), "top.json.new")
+        out = self.fs.create(new, True)
+        out.write(json.dumps({"batch": batch, "top": max([x for x in (top, before) if x is not None], default=None), "before": before}).encode())
+        out.close()
+        replace = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        replace[0] = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename").valueOf("OVERWRITE")
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self.conf).rename(new, self.path, replace)
 
 
 def stream_late(stream: DataFrame, time_col: str, delay_s: int, on_time: str, late: str, state: str, checkpoint: str):
-    """STR-09. Rows older than the greatest event time of earlier batches less delay_s go to a late table. The greatest time is a small table at state, one row a batch."""
+    """STR-09. Rows older than the greatest event time of earlier batches less delay_s go to a late table. That time is one small record in the folder state, however many batches have run."""
 
     def split(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(state)
-        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        seen = spark.read.parquet(state).where(F.col("batch") < n).agg(F.max("top")).first()[0] if there else None
+        top = Top(batch.sparkSession, state)
+        seen = top.before(n)
         rows = batch.persist()
         t = F.unix_micros(F.col(time_col))
         old = F.lit(False) if seen is None else F.coalesce(t < seen - delay_s * 1_000_000, F.lit(False))
         rows.where(~old).write.mode("overwrite").parquet(f"{on_time}/batch={n}")
         rows.where(old).write.mode("overwrite").parquet(f"{late}/batch={n}")
-        rows.agg(F.max(t).alias("top")).write.mode("overwrite").parquet(f"{state}/batch={n}")
+        top.write(n, rows.agg(F.max(t)).first()[0])
         rows.unpersist()
 
     q = stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -133,17 +133,22 @@ def _fill(scratch: Scratch, name: str, rows: DataFrame, windows: DataFrame, same
     every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     deal = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), n).cast("int")
     order = Window.partitionBy("row", "k").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    group = F.col("label") if same else F.lit(0)
-    open_, answered = windows, []
+    group = F.col("label") if same else F.lit(0)  # negatives: one group of all rows
+    total, open_, answered = rows.count(), windows, []
     for n, level in enumerate(LEVELS):
         # thresholds are whole numbers from lo to hi
         asked = open_.withColumn("least", F.col("lo") + F.ceil((F.col("hi") - F.col("lo")) * F.lit(level)).cast("long"))
         anchors = asked.groupBy("row").agg(F.collect_list(F.struct("k", "least", "hi")).alias("windows")).join(rows, "row").select("row", "label", "x", "windows", group.alias("g"))
         anchors = scratch.keep(anchors, f"{name}_{n}_anchors")
-        sizes = anchors.groupBy("g").agg(F.ceil(F.count("*") / ANCHORS).alias("n_anchors")).join(rows.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / ROWS).alias("n_rows")), "g")
-        sizes = scratch.keep(sizes, f"{name}_{n}_sizes")
-        left = anchors.join(sizes, "g").withColumn("a", deal("a", F.col("n_anchors"))).withColumn("b", every(F.col("n_rows"))).select("g", "a", "b", "row", "label", "x", "windows")
-        right = rows.withColumn("g", group).join(sizes, "g").withColumn("b", deal("b", F.col("n_rows"))).withColumn("a", every(F.col("n_anchors"))).select("g", "a", "b", "row", "label", "x", "id")
+        blocks = lambda t, size, name: t.groupBy("g").agg(F.ceil(F.count("*") / size).alias(name))
+        if same:
+            sizes = scratch.keep(blocks(anchors, ANCHORS, "n_anchors").join(blocks(rows.withColumn("g", group), ROWS, "n_rows"), "g"), f"{name}_{n}_sizes")
+            sized = lambda t: t.join(sizes, "g")
+        else:
+            counts = {"n_anchors": F.lit(-(-anchors.count() // ANCHORS)), "n_rows": F.lit(-(-total // ROWS))}
+            sized = lambda t: t.withColumns(counts)
+        left = sized(anchors).withColumn("a", deal("a", F.col("n_anchors"))).withColumn("b", every(F.col("n_rows"))).select("g", "a", "b", "row", "label", "x", "windows")
+        right = sized(rows.withColumn("g", group)).withColumn("b", deal("b", F.col("n_rows"))).withColumn("a", every(F.col("n_anchors"))).select("g", "a", "b", "row", "label", "x", "id")
         met = left.groupBy("g", "a", "b").cogroup(right.groupBy("g", "a", "b")).applyInArrow(lambda p, q: _best(p, q, same, need), "row long, k int, id long, score long")
         found = scratch.keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need), f"{name}_{n}_found")
         full = found.groupBy("row", "k").agg(F.count("*").alias("n"))

@@ -435,13 +435,16 @@ def digests(docs: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
         import pyarrow as pa
 
         gc.disable()  # nothing here makes cycles, and the collector would walk all that is remembered again and again
-        enc = load(spec.value)
-        for b in batches:
-            texts = b.column(len(keep))
-            for lo, hi in _slices(texts):
-                n, ids, back = zip(*enc.digests(texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")), strict=True)
-                out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in range(len(keep))), *out], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            enc = load(spec.value)
+            for b in batches:
+                texts = b.column(len(keep))
+                for lo, hi in _slices(texts):
+                    n, ids, back = zip(*enc.digests(texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")), strict=True)
+                    out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in range(len(keep))), *out], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()  # the process runs other tasks after this one
 
     rows = docs.select(*map(quoted, keep), F.col("text").cast("string").alias(free_name("text", keep)))
     shape = rows.select(*map(quoted, keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema

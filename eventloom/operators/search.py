@@ -178,6 +178,11 @@ def envelope_check(requests: DataFrame) -> DataFrame:
 
 
 def provenance_panel(results: DataFrame, evidence: DataFrame) -> DataFrame:
-    """SEA-19. results(id, ...) with the evidence(id, source, quote, snapshot) gathered for each, sorted."""
+    """SEA-19. results(id, ...) with the evidence(id, source, quote, snapshot) gathered for each, sorted: what one page shows. provenance_rows has it as rows, for results with more than one row should hold."""
     e = evidence.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("source", "quote", "snapshot"))).alias("evidence"))
     return results.join(e, "id", "left")
+
+
+def provenance_rows(results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """SEA-19 by rows: results(id, ...) with one row for each of their evidence, or one with nulls."""
+    return results.join(evidence.select("id", "source", "quote", "snapshot"), "id", "left")

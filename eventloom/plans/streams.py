@@ -182,6 +182,22 @@ def src07_08_stream_topic(spark, sf_dir):
     return _shown(spark.read.schema(schemas.TOPICS["normalized.logs.v1"]).parquet(f"{folder}/out"))
 
 
+@query("""WITH e AS (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition, 'log-' || event_id AS key, CAST(row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id % 2, ts, 'log-' || event_id) - 1 AS BIGINT) AS "offset" FROM events)
+  SELECT *, (topic = 'click' AND partition = 1 AND "offset" BETWEEN 5 AND 59) OR (topic = 'view' AND partition = 2 AND "offset" >= 40) AS replayed FROM e""")
+def src07_11_topic_log(spark, sf_dir):
+    """The events as a log in two appends, streamed after each from where the checkpoint stands; and which rows a replay by offsets gives again."""
+    from ..sources import log
+
+    folder = _folder(spark)
+    e = v.table(spark, sf_dir, "events")
+    rows = e.select("event_id", F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("ts").cast("timestamp").alias("time"), F.concat(F.lit("log-"), F.col("event_id")).alias("key"), F.col("props").alias("value"))
+    for half in (0, 1):
+        log.append_log(rows.where(F.col("event_id") % 2 == half), f"{folder}/log")
+        streams.start(log.read_log_stream(spark, f"{folder}/log"), f"{folder}/out", f"{folder}/checkpoint")
+    again = log.replay_log(spark, f"{folder}/log", [("click", 1, 5, 40), ("click", 1, 30, 60), ("view", 2, 40, 1 << 40)]).select("topic", "partition", "offset", F.lit(True).alias("replayed"))
+    return spark.read.schema(log.SCHEMA).parquet(f"{folder}/out").join(again, ["topic", "partition", "offset"], "left").select("topic", "partition", "offset", "key", F.coalesce("replayed", F.lit(False)).alias("replayed"))
+
+
 @query("SELECT DISTINCT p_brand AS id, 'quality' AS kind, 0.0 AS lo, 2 AS n_dimensions FROM part")
 def src13_read_metric_registry(spark, sf_dir):
     """A registry with one metric a brand, as a text file."""

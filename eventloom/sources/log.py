@@ -25,7 +25,8 @@ _SEGMENT = re.compile(r"topic=([^/]*)/partition=(\d+)/(\d+)-(\d+)\.parquet$")
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    local = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
 
 
 @dataclass

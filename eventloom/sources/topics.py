@@ -36,10 +36,11 @@ def decode_cloudevents(df: DataFrame, topic: str) -> DataFrame:
     return own.select("_d.*", *[F.col(c).alias(f"ce_{c}") for c in df.columns if c != "data"])
 
 
-def route_topics(df: DataFrame) -> DataFrame:
-    """SRC-05. Envelopes with topic: the type without its prefix, or dead-letter if the catalog lacks it. Write it with partitionBy("topic")."""
+def route_topics(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """SRC-05. Envelopes with topic: the type without its prefix, or dead-letter if the catalog (by default the built-in one) lacks it. Write it with partitionBy("topic")."""
+    names = list(schemas.TOPICS) if catalog is None else [r["name"] for r in catalog.select("name").collect()]  # topics are few
     name = F.regexp_replace("type", rf"^{schemas.TYPE_PREFIX.replace('.', '[.]')}", "")
-    known = F.col("type").startswith(schemas.TYPE_PREFIX) & name.isin(*schemas.TOPICS)
+    known = F.col("type").startswith(schemas.TYPE_PREFIX) & name.isin(*names)
     return df.withColumn("topic", F.when(known, name).otherwise(F.lit("dead-letter")))
 
 
@@ -65,9 +66,14 @@ def write_stream_topic(df: DataFrame, path: str, checkpoint: str):
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def apply_retention(df: DataFrame, topic: str, as_of: str) -> DataFrame:
-    """SRC-09. Rows whose event time is at most the topic's retention before as_of."""
-    return df.where(F.col(schemas.KEYS[topic][1]) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(schemas.RETENTION_DAYS[topic])))
+def apply_retention(df: DataFrame, topic: str, as_of: str, catalog: DataFrame | None = None) -> DataFrame:
+    """SRC-09. Rows whose event time is at most the topic's retention before as_of: the built-in one, or the catalog's; a topic that the catalog keeps no time for keeps all."""
+    if catalog is None:
+        days = schemas.RETENTION_DAYS[topic]
+    else:
+        own = catalog.where(F.col("name") == topic).select("retention_days").first()
+        days = own["retention_days"] if own else None
+    return df if days is None else df.where(F.col(schemas.KEYS[topic][1]) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
 def replay_window(df: DataFrame, time_col: str, start: str, end: str) -> DataFrame:
@@ -92,15 +98,29 @@ def inject(df: DataFrame, fixtures: DataFrame, run_id: str) -> DataFrame:
 METRIC = "id string, kind string, range array<double>, unit string, dimensions array<string>, description string, shape string"
 
 
-def read_metric_registry(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13. Registry rows of a YAML-like list: entries start with `- id: name`; values are scalars or [..] lists."""
+def _entries(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(e): the entries of a YAML-like list, each the text from its first key on; and readers of their scalars and [..] lists."""
     one = spark.read.text(path, wholetext=True)
-    entry = F.explode(F.filter(F.split("value", r"(?m)^\s*-\s+id:\s*"), lambda x, i: i > 0))
-    df = one.select(entry.alias("e"))
-    get = lambda k: F.nullif(F.trim(F.regexp_extract("e", rf"(?m)^\s*{k}:\s*([^\n#]*)", 1)), F.lit(""))
-    items = lambda k: F.transform(F.filter(F.split(F.regexp_replace(get(k), r"[\[\]]", ""), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    df = one.select(F.explode(F.split("value", r"(?m)^\s*-\s+(?=\w+:)")).alias("e"))
     unquote = lambda c: F.regexp_replace(c, r"""^["']|["']$""", "")
-    return df.select(unquote(F.trim(F.substring_index("e", "\n", 1))).alias("id"), unquote(get("kind")).alias("kind"), F.transform(items("range"), lambda x: x.try_cast("double")).alias("range"), unquote(get("unit")).alias("unit"), items("dimensions").alias("dimensions"), unquote(get("description")).alias("description"), get("shape").alias("shape"))
+    get = lambda k: unquote(F.nullif(F.trim(F.regexp_extract("e", rf"(?m)^[ \t]*{k}:[ \t]*([^\n]*?)[ \t]*(?:[ \t]#[^\n]*)?$", 1)), F.lit("")))
+    items = lambda k: F.transform(F.filter(F.split(F.regexp_replace(get(k), r"[\[\]]", ""), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    return df, {"get": get, "items": items}
+
+
+def read_metric_registry(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-13. Registry rows of a YAML-like list: an entry is a list item with a line `id: name`, be it the first or a later one; values are scalars or [..] lists."""
+    df, to = _entries(spark, path)
+    get, items = to["get"], to["items"]
+    rows = df.select(get("id").alias("id"), get("kind").alias("kind"), F.transform(items("range"), lambda x: x.try_cast("double")).alias("range"), get("unit").alias("unit"), items("dimensions").alias("dimensions"), get("description").alias("description"), get("shape").alias("shape"))
+    return rows.where("id IS NOT NULL")
+
+
+def read_topic_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, retention_days, schema) of a topic catalog file; retention is in days, as 7d."""
+    df, to = _entries(spark, path)
+    get = to["get"]
+    return df.select(get("name").alias("name"), get("kind").alias("kind"), F.regexp_extract(get("retention"), r"^(\d+)d$", 1).try_cast("int").alias("retention_days"), get("schema").alias("schema")).where("name IS NOT NULL")
 
 
 def read_inventory_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.sources import log
+from eventloom.sources import log, topics
 from eventloom.streaming import streams
 
 
@@ -39,3 +39,32 @@ def test_a_stream_resumes_at_its_offsets(spark, tmp_path, events):
         assert sorted(map(tuple, rows)) == sorted(map(tuple, log.read_log(spark, path).collect()))
     streams.start(log.read_log_stream(spark, path), out, ck)  # nothing new
     assert spark.read.parquet(out).count() == 300
+
+
+CATALOG = """version: 1
+topics:
+  - name: normalized.logs.v1
+    kind: input
+    retention: 3d
+    schema: artifacts/normalized.logs.v1.json
+  - kind: artifact   # the name comes later
+    name: "event.groups.v1"
+    retention: forever
+"""
+
+
+def test_topic_catalog_as_data(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text(CATALOG)
+    c = topics.read_topic_catalog(spark, str(tmp_path / "c.yaml"))
+    assert sorted(map(tuple, c.collect())) == [("event.groups.v1", "artifact", None, None), ("normalized.logs.v1", "input", 3, "artifacts/normalized.logs.v1.json")]
+    days = spark.range(10).select(F.timestamp_seconds(F.col("id") * 86400).alias("observed_at"), F.timestamp_seconds(F.col("id") * 86400).alias("created_at"))
+    assert topics.apply_retention(days, "normalized.logs.v1", "1970-01-10", c).count() == 4
+    assert topics.apply_retention(days, "event.groups.v1", "1970-01-10", c).count() == 10
+    assert topics.apply_retention(days, "normalized.logs.v1", "1970-01-10").count() == 8
+    sent = spark.createDataFrame([("qes.event.groups.v1",), ("qes.derived.stories.v1",)], "type string")
+    assert {r["type"]: r["topic"] for r in topics.route_topics(sent, c).collect()} == {"qes.event.groups.v1": "event.groups.v1", "qes.derived.stories.v1": "dead-letter"}
+
+
+def test_registry_entries_with_a_later_id(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("metrics:\n  - kind: quality\n    id: b.f1\n    range: [0, 1]\n  - id: a\n    dimensions: [x]\n  - kind: none\n")
+    assert [(r["id"], r["kind"], r["range"]) for r in topics.read_metric_registry(spark, str(tmp_path / "r.yaml")).collect()] == [("b.f1", "quality", [0.0, 1.0]), ("a", None, None)]

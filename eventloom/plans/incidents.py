@@ -60,10 +60,11 @@ def grp02_group_by_gap(spark, sf_dir):
 
 
 def _rounds(n: int) -> str:
-    """Smallest label over groups and their records, n times; groups are whole chains, so few rounds do."""
+    """Smallest label over groups and their records, and then the label of that label, n times: lengths of chains halve."""
     out = "l0 AS MATERIALIZED (SELECT record_id, min(record_id) AS c FROM e GROUP BY record_id)"
     for i in range(1, n + 1):
-        out += f", l{i} AS MATERIALIZED (SELECT e.record_id, min(g.c) AS c FROM e JOIN (SELECT e.group_id, min(l{i - 1}.c) AS c FROM e JOIN l{i - 1} USING (record_id) GROUP BY e.group_id) g USING (group_id) GROUP BY e.record_id)"
+        out += f", m{i} AS MATERIALIZED (SELECT e.record_id, min(g.c) AS c FROM e JOIN (SELECT e.group_id, min(l{i - 1}.c) AS c FROM e JOIN l{i - 1} USING (record_id) GROUP BY e.group_id) g USING (group_id) GROUP BY e.record_id)"
+        out += f", l{i} AS MATERIALIZED (SELECT m.record_id, least(m.c, j.c) AS c FROM m{i} m JOIN m{i} j ON j.record_id = m.c)"
     return out
 
 

@@ -259,7 +259,12 @@ def _digest(batches):
 
 def rebuilt(conversations: DataFrame, step: int, head: Column) -> DataFrame:
     """(conv_id, key, words) of conversations(conv_id, turn, role, text): the first `head` turns of conversation
-    conv_id - conv_id % step, then the conversation's own turns after its first `head`. head is a column over conv_id."""
+    conv_id - conv_id % step, then the conversation's own turns after its first `head`. head is a column over conv_id.
+
+    Turns stand by turn, null first, equal ones by their ids; repeated rows stay. Null role or text is empty. Of a text, of
+    any length, only its digest and its number of words travel. Rows without conv_id take no part; other columns, of
+    whatever name, are left out; an empty table gives no rows.
+    """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     turn_id = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", turn_id.alias("turn_id"), n_words_of(text).alias("n"))

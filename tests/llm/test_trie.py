@@ -50,7 +50,7 @@ def got(df):
     return sorted(tuple(-1 if k == 2 and x is None else x for k, x in enumerate(r)) for r in df.collect())
 
 
-@pytest.mark.parametrize("part_keys", [1, 7, 50_000])
+@pytest.mark.parametrize("part_keys", [3, 50_000])
 def test_trie_of_conversations(spark, monkeypatch, part_keys):
     """Shared first turns, copies, conversations that begin others, a long one, nulls, ties and repeated rows."""
     monkeypatch.setattr(trie, "PART_KEYS", part_keys)

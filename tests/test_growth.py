@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from eventloom.operators import incidents
+from eventloom.operators import fleet, incidents
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -18,3 +18,12 @@ def test_approximate_topk_makes_no_row_for_each_pair(spark):
     far = {x["id"]: sorted((round(sum((a - b) ** 2 for a, b in zip(x["embedding"], y["embedding"], strict=True)), 8), y["id"]) for y in rows if y["id"] not in (x["id"], 601))[:3] for x in rows if x["id"] != 601}
     found = {(x["ref_id"], x["rank"]): 2 - 2 * x["score"] for x in got.collect()}
     assert found == {(i, n): pytest.approx(x[0], abs=1e-7) for i, near in far.items() for n, x in enumerate(near, 1)}
+
+
+def test_rollup_of_equal_positions(spark):
+    """The first in the table counts, in whatever order rows arrive."""
+    rows = [(1, 5, "ran", i % 7 + 1, i) for i in range(200)] + [(1, 5, "ran", 0, -1), (1, 4, "ran", 9, -5), (2, 1, "ran", 0, 0)]
+    for n in (1, 5):
+        for seed in range(3):
+            d = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "batch int, position int, outcome string, code int, place int")
+            assert {r["batch"]: r["exit_code"] for r in fleet.run_rollup(d.repartition(n)).collect()} == {1: 1, 2: 0}

@@ -31,8 +31,8 @@ class Scan:
             rows = kept.repartitionById(parts, PART)  # a task a range; windows by range and key need no other shuffle
         self.rows = rows
 
-    def values(self, number: str | None = None, sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> Scan:
-        """The scan with more columns, by name. number: place within the key, from 1. sums: running sum, the row included,
+    def values(self, number: str | None = None, sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, final: str | None = None) -> Scan:
+        """The scan with more columns, by name. number: place within the key, from 1. final: whether it is the key's last row. sums: running sum, the row included,
         nulls as 0. lags: value in the row before, null in a key's first. lasts: last value that isn't null, the row included."""
         sums, lags, lasts = sums or {}, lags or {}, lasts or {}
         here = F.struct(*self.order)
@@ -41,16 +41,18 @@ class Scan:
         ends = self.rows.groupBy(F.col(PART).alias("_p"), *(F.col(k).alias(v) for k, v in key.items())).agg(F.count("*").alias("_n"), *(c.alias(n) for n, c in each.items()))
         before = Window.partitionBy(*key.values()).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
         carried = {n: F.sum(n) if n[1] in "sn" else F.last(n, ignorenulls=n[1] == "l") for n in ["_n", *each]}
-        carry = ends.select("_p", *key.values(), *(c.over(before).alias(n) for n, c in carried.items())).where("_n IS NOT NULL")
+        more = {"_m": F.lead(F.lit(True)).over(Window.partitionBy(*key.values()).orderBy("_p"))} if final else {}
+        carry = ends.select("_p", *key.values(), *(c.over(before).alias(n) for n, c in carried.items()), *(c.alias(n) for n, c in more.items())).where("_n IS NOT NULL" + (" OR _m" if final else ""))
         same = (F.col(PART) == F.col("_p")) & F.lit(True)
         for k, v in key.items():
             same = same & F.col(k).eqNullSafe(F.col(v))
         w = Window.partitionBy(PART, *self.keys).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        # at most one carried row a range: that of its first key
-        out = self.rows.withColumn("_i", F.row_number().over(w)).withColumns({f"_ls{i}": F.sum(c).over(upto) for i, c in enumerate(sums.values())} | {f"_lg{i}": F.lag(c).over(w) for i, c in enumerate(lags.values())} | {f"_ll{i}": F.last(c, ignorenulls=True).over(upto) for i, c in enumerate(lasts.values())})
+        # a carried row a range, that of its first key; with final also that of its last
+        out = self.rows.withColumn("_i", F.row_number().over(w)).withColumns({f"_ls{i}": F.sum(c).over(upto) for i, c in enumerate(sums.values())} | {f"_lg{i}": F.lag(c).over(w) for i, c in enumerate(lags.values())} | {f"_ll{i}": F.last(c, ignorenulls=True).over(upto) for i, c in enumerate(lasts.values())} | ({"_e": F.lead(F.lit(True)).over(w)} if final else {}))
         out = out.join(F.broadcast(carry), same, "left")
         new = {number: F.col("_i") + F.coalesce("_n", F.lit(0))} if number else {}
+        new |= {final: F.col("_e").isNull() & F.col("_m").isNull()} if final else {}
         new |= {n: F.coalesce(f"_ls{i}", F.lit(0)) + F.coalesce(f"_s{i}", F.lit(0)) for i, n in enumerate(sums)}
         new |= {n: F.when(F.col("_i") == 1, F.col(f"_g{i}.x")).otherwise(F.col(f"_lg{i}")) for i, n in enumerate(lags)}
         new |= {n: F.coalesce(f"_ll{i}", f"_l{i}") for i, n in enumerate(lasts)}

@@ -76,10 +76,9 @@ def run_history(runs: DataFrame) -> DataFrame:
     ok = F.col("status") == "completed"
     r = runs.select("scenario", "run_id", "status", "started_at")
     order = ["started_at", "run_id"]
-    r = Scan(r, ["scenario"], order).values(number="seq", sums={"passed": ok.cast("long")}, lags={"before": F.col("status")}).result()
-    last = r.groupBy(F.col("scenario").alias("_of")).agg(F.max("seq").alias("of"))
+    r = Scan(r, ["scenario"], order).values(number="seq", final="latest", sums={"passed": ok.cast("long")}, lags={"before": F.col("status")}).result()
     flip = F.col("before").isNotNull() & ((F.col("before") == "completed") != ok)
-    return r.join(last, F.col("scenario").eqNullSafe(F.col("_of"))).select("scenario", "run_id", "status", F.col("seq").cast("int").alias("seq"), (F.col("seq") == F.col("of")).alias("latest"), (F.col("passed") / F.col("seq")).alias("pass_rate"), flip.alias("flip"))
+    return r.select("scenario", "run_id", "status", F.col("seq").cast("int").alias("seq"), "latest", (F.col("passed") / F.col("seq")).alias("pass_rate"), flip.alias("flip"))
 
 
 def fingerprint(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
 """Steps whose work must follow the input: what they make on the way, and their results against plain versions."""
 
 import random
+import re
 
 import pytest
 
-from eventloom.operators import fleet, incidents
+from eventloom.operators import evaluate, fleet, incidents
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -27,3 +28,19 @@ def test_rollup_of_equal_positions(spark):
         for seed in range(3):
             d = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "batch int, position int, outcome string, code int, place int")
             assert {r["batch"]: r["exit_code"] for r in fleet.run_rollup(d.repartition(n)).collect()} == {1: 1, 2: 0}
+
+
+def test_last_of_a_key_needs_no_join_by_key(spark, request):
+    """Nearly all runs are of one scenario: no shuffle by scenario may carry the runs."""
+    rows = [(f"r{i:05}", "big" if i % 50 else f"s{i % 7}", "completed" if i % 3 else "failed", i // 4) for i in range(3000)] + [("x", None, "failed", 3), ("y", None, "completed", 2)]
+    d = spark.createDataFrame(rows, "run_id string, scenario string, status string, started_at long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit))
+    got = evaluate.run_history(d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Sort ?MergeJoin|ShuffledHashJoin", plan)
+    last = {}
+    for run, scenario, _, at in sorted(rows, key=lambda x: (x[3], x[0])):
+        last[scenario] = run
+    assert {x["scenario"]: x["run_id"] for x in got.where("latest").collect()} == last and got.where("NOT latest").count() == len(rows) - len(last)

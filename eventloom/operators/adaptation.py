@@ -125,7 +125,7 @@ def fit_topics(docs: DataFrame, method: str = "lda", k: int = 4, seed: int = 7,
 
     d = docs.select("doc_id", _words(F.col("text")).alias("w"))
     cv = CountVectorizer(inputCol="w", outputCol="v", vocabSize=vocab, minDF=2.0).fit(d)
-    v = cv.transform(d).select("doc_id", "v")
+    v = cut(cv.transform(d).select("doc_id", "v"))  # fitting passes over the vectors, not over the texts
     if method == "lda":
         return v, cv.vocabulary, LDA(k=k, seed=seed, maxIter=rounds, featuresCol="v", optimizer="online").fit(v)
     if method == "lsa":
@@ -134,15 +134,16 @@ def fit_topics(docs: DataFrame, method: str = "lda", k: int = 4, seed: int = 7,
 
 
 def singular_axes(vectors: DataFrame, k: int):
-    """The first k right singular vectors of the rows of vectors(v), as columns, and the singular values. Rows stay sparse and in the JVM; the driver holds the axes only."""
+    """The first k right singular vectors of the rows of vectors(v), as columns, and the singular values. Rows stay sparse and
+    in the JVM, and are passed once: the driver gets the products of the terms, of the vocabulary's chosen size squared."""
     import numpy as np
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("v"), "v")).computeSVD(k)
-    axes = svd.V.toArray()
+    found, axes = np.linalg.eigh(RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("v"), "v")).computeGramianMatrix().toArray())
+    found, axes = found[::-1][:k], axes[:, ::-1][:, :k]
     top = axes[np.abs(np.round(axes, 9)).argmax(axis=0), np.arange(axes.shape[1])]
-    return axes * np.where(top < 0, -1.0, 1.0), svd.s.toArray()
+    return axes * np.where(top < 0, -1.0, 1.0), np.sqrt(np.maximum(found, 0))
 
 
 def _stored(vectors: DataFrame) -> DataFrame:
@@ -176,7 +177,8 @@ def topic_signature(model, vocabulary: list[str], docs: DataFrame, membership: D
     terms = model.describeTopics(n).select(F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic_id", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight"))
     terms = terms.join(F.broadcast(vocab), "i").groupBy("topic_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("weight", "term")))).alias("top_terms"))
     main = membership.groupBy("doc_id").agg(F.max_by("topic_id", "membership").alias("topic_id"))
-    grams = docs.select("doc_id", once(_words(F.col("text"))).alias("w")).select("doc_id", F.explode(ngrams(F.col("w"), 2)).alias("g")).join(main, "doc_id").groupBy("topic_id", "g").agg(F.count("*").alias("n"))
+    texts = docs.select("doc_id", "text").join(main, "doc_id").select("topic_id", once(_words(F.col("text"))).alias("w"))  # a row a document meets its topic, not a row a bigram
+    grams = texts.select("topic_id", F.explode(ngrams(F.col("w"), 2)).alias("g")).groupBy("topic_id", "g").agg(F.count("*").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("n"), "g"))).where(F.col("r") <= n).groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "g"))), lambda x: x["g"]).alias("top_phrases"))
     return terms.join(top, "topic_id", "left")
 

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from eventloom.operators import adaptation as ad
 from eventloom.operators import evaluate, fleet, incidents
 
 
@@ -44,3 +46,19 @@ def test_last_of_a_key_needs_no_join_by_key(spark, request):
     for run, scenario, _, at in sorted(rows, key=lambda x: (x[3], x[0])):
         last[scenario] = run
     assert {x["scenario"]: x["run_id"] for x in got.where("latest").collect()} == last and got.where("NOT latest").count() == len(rows) - len(last)
+
+
+def test_topics_read_the_texts_a_fixed_number_of_times(spark):
+    """The number of jobs that tokenise must not follow the rounds of the fit."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        read.add(1)
+        return x
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 23}" for j in range(1, 9))) for i in range(60)], "doc_id long, text string")
+    docs = docs.select("doc_id", F.udf(count)("text").alias("text"))
+    for method in ("lsi", "lsa", "lda"):
+        before = read.value
+        ad.fit_topics(docs, method, k=2, rounds=8)
+        assert read.value - before <= 2 * 60

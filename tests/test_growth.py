@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import adaptation as ad
-from eventloom.operators import evaluate, fleet, incidents
+from eventloom.operators import components, evaluate, fleet, incidents
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -62,3 +62,14 @@ def test_topics_read_the_texts_a_fixed_number_of_times(spark):
         before = read.value
         ad.fit_topics(docs, method, k=2, rounds=8)
         assert read.value - before <= 2 * 60
+
+
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    """A chain in the order of its names, a star and pairs: what all rounds write stays within a few times the input."""
+    r, written = random.Random(4), []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: (lambda t: (written.append(t.count()), t)[1])(cut(df)))
+    links = [(f"c{i:04}", f"c{i + 1:04}") for i in range(1500)] + [("hub", f"s{i}") for i in range(400)] + [(f"p{i}", f"q{i}") for i in range(50)] + [("p1", "p1"), (None, "p2")]
+    r.shuffle(links)
+    got = {x["node"]: x["component"] for x in components.connected(spark.createDataFrame(links * 2, "a string, b string")).collect()}
+    want = {f"c{i:04}": "c0000" for i in range(1501)} | {f"s{i}": "hub" for i in range(400)} | {"hub": "hub"} | {f"{c}{i}": f"p{i}" for c in "pq" for i in range(50)}
+    assert got == want and sum(written) < 12 * len(links)

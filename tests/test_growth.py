@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import adaptation as ad
-from eventloom.operators import components, evaluate, fleet, incidents
+from eventloom.operators import components, evaluate, fleet, incidents, lexical
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -73,3 +73,20 @@ def test_rounds_of_components_shrink(spark, monkeypatch):
     got = {x["node"]: x["component"] for x in components.connected(spark.createDataFrame(links * 2, "a string, b string")).collect()}
     want = {f"c{i:04}": "c0000" for i in range(1501)} | {f"s{i}": "hub" for i in range(400)} | {"hub": "hub"} | {f"{c}{i}": f"p{i}" for c in "pq" for i in range(50)}
     assert got == want and sum(written) < 12 * len(links)
+
+
+def test_long_queries_make_no_row_for_each_document(spark):
+    """Whole texts as queries: the rows that leave the tasks are k a query and block, not a document."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join([*(f"c{r.randrange(30)}" for _ in range(20)), *(f"x{r.randrange(500)}" for _ in range(9))])) for i in range(900)], "doc_id int, text string")
+    q = docs.where("doc_id < 60").withColumnRenamed("doc_id", "query_id")
+    words = q.select("query_id", F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
+    post = lexical.postings(docs, words, 1.2, 0.75)[0].cache()
+    top = lexical.multiplied(post, words, 3)
+    assert "FlatMapCoGroupsInPandas" in top._jdf.queryExecution().optimizedPlan().toString()
+    sums = {}
+    for x in words.join(post, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("s")).collect():
+        sums.setdefault(x["query_id"], []).append((-x["s"], x["doc_id"]))
+    want = {(i, d, n) for i, found in sums.items() for n, (_, d) in enumerate(sorted(found)[:3], 1)}
+    assert {(x["query_id"], x["id"], x["rank"]) for x in top.collect()} == want
+    assert "multiplied" in lexical.lexical_search.__code__.co_names

@@ -90,3 +90,21 @@ def test_long_queries_make_no_row_for_each_document(spark):
     want = {(i, d, n) for i, found in sums.items() for n, (_, d) in enumerate(sorted(found)[:3], 1)}
     assert {(x["query_id"], x["id"], x["rank"]) for x in top.collect()} == want
     assert "multiplied" in lexical.lexical_search.__code__.co_names
+
+
+def most_in_one_part(df):
+    """The share of df's rows that the fullest partition has."""
+    n = [x["count"] for x in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) / sum(n)
+
+
+def test_pairs_of_a_hot_entity_are_made_in_many_tasks(spark):
+    """One entity has nearly all mentions, in one partition; times before 1970 and equal times are among them."""
+    r = random.Random(6)
+    rows = [(f"r{i:04}", "service", "hot" if i % 40 else f"s{i % 3}", r.randint(-40_000, 40_000)) for i in range(2500)] + [("x", "service", "hot", None), ("y", "service", None, 5)]
+    m = spark.createDataFrame(rows, "record_id string, kind string, id string, s long").coalesce(1).withColumn("at", F.timestamp_seconds("s"))
+    for gap in (0, 1, 1800):
+        got = incidents.correlate_pairs(m, gap)
+        want = [(a, b, "service", x) for a, _, x, s in rows[:2500] for b, _, y, t in rows[:2500] if x == y and 0 <= t - s <= gap and (t > s or a < b)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert most_in_one_part(got) < 0.5

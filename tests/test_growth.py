@@ -108,3 +108,20 @@ def test_pairs_of_a_hot_entity_are_made_in_many_tasks(spark):
         want = [(a, b, "service", x) for a, _, x, s in rows[:2500] for b, _, y, t in rows[:2500] if x == y and 0 <= t - s <= gap and (t > s or a < b)]
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert most_in_one_part(got) < 0.5
+
+
+def test_runs_of_a_hot_ancestor_meet_in_many_tasks(spark, monkeypatch):
+    """Nearly all artifacts and runs belong to one ancestor; one ancestor has no run and one run no artifact below it."""
+    monkeypatch.setattr(ad, "RUNS", 50)
+    monkeypatch.setattr(ad, "BELOW", 40)
+    inputs = [(f"a{i}", "hot" if i % 20 else "few") for i in range(200)] + [("hot", "top"), ("none", "a3"), ("none", None)]
+    runs = [("hot" if i % 30 else "few", f"run{i}", "m", float(i)) for i in range(300)] + [("a3", "run1", "m", None), ("a3", "run1", "k", 2.0), ("lost", "z", "m", 1.0), (None, "z", "m", 1.0)]
+    d = spark.createDataFrame(inputs, "artifact string, input string").coalesce(1)
+    got = ad.artifact_lineage(d, spark.createDataFrame(runs, "artifact string, run_id string, metric string, value double").coalesce(1))
+    want = []
+    for x in ad.artifact_lineage(d).collect():
+        own = [r[1:] for r in runs if r[0] == x["ancestor"]] or [(None, None, None)]
+        want += [(x["artifact"], x["ancestor"], x["distance"], *r) for r in own]
+    key = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert key(got.collect()) == key(want) and len(want) > 50_000
+    assert most_in_one_part(got) < 0.6

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.parts import parts_for
 from ..functions.scratch import cut
 from ..functions.vectors import block_topk
 from . import components
@@ -136,15 +137,33 @@ def ingest_into(batch: DataFrame, path: str, parts: int = 64) -> DataFrame:
 
 
 TILE = 256  # entities of a document that meet as many others in one task
+PART = 1 << 18  # mentions of small documents in one task
 
 
 def co_mentions(mentions: DataFrame) -> DataFrame:
     """(doc_id, src, dst) of each pair of a document's distinct entities, src before dst, of mentions(doc_id, entity).
 
-    A document's entities are dealt to tiles of about TILE, and each pair of tiles is a join key of its own: the largest
-    document gives many keys of one size, and a document of up to TILE entities is one key.
+    Documents of up to TILE mentions are dealt to tasks by the count of rows, and each makes its pairs from one short array.
+    Of larger ones, entities are dealt to tiles of about TILE, and each pair of tiles is a join key of its own, so that the
+    largest document gives many keys of one size.
     """
-    m = mentions.select("doc_id", "entity").where("doc_id IS NOT NULL AND entity IS NOT NULL").distinct()
+    m = mentions.select("doc_id", "entity").where("doc_id IS NOT NULL AND entity IS NOT NULL")
+    large = cut(m.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("doc_id"))
+    if large.isEmpty():
+        return _short(m)
+    return _short(m.join(large, "doc_id", "left_anti")).unionByName(_tiled(m.join(large, "doc_id", "left_semi")))
+
+
+def _short(m: DataFrame) -> DataFrame:
+    """co_mentions of documents with few mentions each."""
+    sets = m.repartition(parts_for(m, PART), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("e"))  # TILE at most
+    first = sets.where("size(e) > 1").select("doc_id", "e", F.posexplode("e").alias("i", "src"))
+    return first.select("doc_id", "src", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("dst"))
+
+
+def _tiled(m: DataFrame) -> DataFrame:
+    """co_mentions of documents with any number of mentions."""
+    m = m.distinct()
     n = m.groupBy("doc_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     m = m.join(n, "doc_id").withColumn("tile", F.pmod(F.xxhash64("entity"), F.col("tiles")).cast("int"))
     left = m.select("doc_id", F.col("tile").alias("a"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("b"), F.col("entity").alias("x"))
@@ -154,7 +173,7 @@ def co_mentions(mentions: DataFrame) -> DataFrame:
 
 
 def semantic_graph(mentions: DataFrame) -> DataFrame:
-    """SEA-16. (src, dst, weight): how many documents mention both entities, of mentions(doc_id, entity). Each task adds up its tiles before weights are shuffled."""
+    """SEA-16. (src, dst, weight): how many documents mention both entities, of mentions(doc_id, entity). Each task adds up its pairs before weights are shuffled."""
     return co_mentions(mentions).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import adaptation as ad
-from eventloom.operators import components, evaluate, fleet, incidents, lexical
+from eventloom.operators import components, evaluate, fleet, incidents, lexical, search
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -125,3 +125,17 @@ def test_runs_of_a_hot_ancestor_meet_in_many_tasks(spark, monkeypatch):
     key = lambda rows: sorted(map(str, map(tuple, rows)))
     assert key(got.collect()) == key(want) and len(want) > 50_000
     assert most_in_one_part(got) < 0.6
+
+
+def test_documents_are_dealt_by_their_mentions(spark, monkeypatch):
+    """Rows of one task stay as many, whatever the shuffle partitions are; a document above a tile stands among small ones."""
+    monkeypatch.setattr(search, "PART", 100)
+    monkeypatch.setattr(search, "TILE", 9)
+    r = random.Random(3)
+    docs = {d: [r.randrange(60) for _ in range(r.randint(0, 9))] for d in range(300)} | {300: [*range(40)] * 2, 301: [5] * 30, 302: [5] * 9}
+    df = spark.createDataFrame([(d, e) for d, es in docs.items() for e in es] + [(3, None), (None, 1)], "doc_id int, entity int").coalesce(1)
+    got = search.co_mentions(df)
+    want = sorted((d, a, b) for d, es in docs.items() for a in set(es) for b in set(es) if a < b)
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(search, "TILE", 100)
+    assert search.co_mentions(df).select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))

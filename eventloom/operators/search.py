@@ -107,33 +107,49 @@ def governance_rollup(decisions: DataFrame) -> DataFrame:
     return decisions.select("principal", F.explode("roles").alias("role"), "outcome", F.to_date("at").alias("day")).groupBy("principal", "role", "outcome", "day").agg(F.count("*").alias("n"))
 
 
-def ingest_documents(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """SEA-15. The store (id, text, version, hash) after a batch (id, text, version): newest wins; content that is the same is left as it was."""
-    new = batch.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("version"), "text"))).where("r = 1").select("id", F.struct("text", "version", F.sha2(F.col("text").cast("binary"), 256).alias("hash")).alias("n"))
-    old = store.select("id", F.struct("text", "version", "hash").alias("o"))
-    met = old.join(new, "id", "full_outer")
-    take = F.col("o").isNull() | (F.col("n").isNotNull() & (F.col("n.version") > F.col("o.version")) & (F.col("n.hash") != F.col("o.hash")))
-    return met.select("id", F.when(take, F.col("n")).otherwise(F.col("o")).alias("x"), F.when(F.col("o").isNull(), "insert").when(take, "update").otherwise("keep").alias("action")).select("id", "x.*", "action")
+def ingest_documents(batch: DataFrame, store: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """SEA-15. The store (id, text, version, hash), where an id stands once, after a batch (id, text, version): newest wins, of
+    equal versions the first in text order; content that is the same is left as it was. within: columns of both that an id fixes."""
+    cols = ["id", "text", "version", "hash", *within]
+    new = batch if "hash" in batch.columns else batch.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+    new = new.select(*cols, F.lit(False).alias("stored"))
+    rows = store.select(*cols, F.lit(True).alias("stored")).unionByName(new).repartition(*(within or ("id",)))
+    w = Window.partitionBy(*within, "id").orderBy(F.desc("stored"), F.desc("version"), "text")
+    state = F.struct("stored", "version", "hash")
+    rows = rows.withColumns({"r": F.row_number().over(w), "o": F.lag(state).over(w), "n": F.lead(state).over(w)})
+    beats = lambda n, o: F.coalesce((n("version") > o("version")) & (n("hash") != o("hash")), F.lit(False))
+    at = lambda c: lambda name: F.col(c)[name]
+    action = F.when(F.col("stored"), F.when(~beats(at("n"), F.col), "keep")).when(F.col("r") == 1, "insert").when((F.col("r") == 2) & F.col("o.stored") & beats(F.col, at("o")), "update")
+    return rows.withColumn("action", action).where("action IS NOT NULL").select(*cols, "action")
 
 
 def ingest_into(batch: DataFrame, path: str, parts: int = 64) -> DataFrame:
     """SEA-15. Puts a batch (id, text, version) into the store (id, text, version, hash) at path, which is laid out in parts by
     the hash of the id. Only parts that the batch touches are read, and only those in which a document changes are written
-    again. Returns (id, action) of the batch's documents. A batch that runs again changes nothing."""
+    again. Returns (id, action) of the batch's documents. A batch that runs again changes nothing.
+
+    What changes is told by versions and hashes; texts are read, dealt and written once, and only those of parts that change.
+    """
     spark = batch.sparkSession
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    batch = cut(batch.select("id", "text", "version"))
-    touched = [r["part"] for r in batch.select(part("id").alias("part")).distinct().collect()]  # parts numbers at most
+    batch = cut(batch.select("id", "text", "version", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), part("id").alias("part")))
+    touched = [r["part"] for r in batch.select("part").distinct().collect()]  # parts numbers at most
     shape = f"id {batch.schema['id'].dataType.simpleString()}, text string, version {batch.schema['version'].dataType.simpleString()}, hash string, part int"
-    store = (spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)).where(F.col("part").isin(touched))
-    after = cut(ingest_documents(batch, store).withColumn("part", part("id")))
-    changed = [r["part"] for r in after.where("action <> 'keep'").select("part").distinct().collect()]
+    read = lambda: spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)
+    state = lambda name: read().where(F.col("part").isin(touched)).select("id", F.struct("version", "hash").alias(name))
+    before = cut(state("o"))
+    newest = batch.select("id", "version", "hash", "part", F.rank().over(Window.partitionBy("id").orderBy(F.desc("version"))).alias("r")).where("r = 1")
+    differs = F.col("o").isNull() | ((F.col("version") > F.col("o.version")) & (F.col("hash") != F.col("o.hash")))
+    changed = [r["part"] for r in newest.join(before, "id", "left").where(differs).select("part").distinct().collect()]
     if changed:
-        rows = after.where(F.col("part").isin(changed)).drop("action")
-        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    return after.join(batch.select("id").distinct(), "id", "left_semi").select("id", "action")
+        some = lambda df: df.where(F.col("part").isin(changed))
+        rows = ingest_documents(some(batch), some(read()), ("part",)).drop("action")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        there = True
+    met = batch.select("id").where("id IS NOT NULL").distinct().join(before, "id", "left").join(state("n"), "id", "left")
+    return cut(met.select("id", F.when(F.col("o").isNull(), "insert").when(F.col("o").eqNullSafe(F.col("n")), "keep").otherwise("update").alias("action")))
 
 
 TILE = 256  # entities of a document that meet as many others in one task

@@ -139,3 +139,27 @@ def test_documents_are_dealt_by_their_mentions(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
     monkeypatch.setattr(search, "TILE", 100)
     assert search.co_mentions(df).select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ingest_writes_texts_once(spark, tmp_path, monkeypatch):
+    """Only the batch itself goes through a table between jobs with its texts; nulls, equal versions and repeats by a plain version."""
+    r, written = random.Random(7), []
+    monkeypatch.setattr(search, "cut", lambda df, cut=search.cut: (written.append("text" in df.columns), cut(df))[1])
+    shape, path, store = "id int, text string, version int", str(tmp_path / "store"), {}
+    for n in range(4):
+        rows = [(r.randrange(60), r.choice([None, "", "a", "b", "c"]), r.choice([None, 1, 2, 3, 4])) for _ in range((5, 90, 0, 60)[n])]
+        actions = {}
+        for i in {x[0] for x in rows}:
+            t, v = min(((t, v) for j, t, v in rows if j == i), key=lambda x: (x[1] is None, -(x[1] or 0), x[0] is not None, x[0] or ""))
+            o = store.get(i)
+            new = o is not None and None not in (v, o[1], t, o[0]) and v > o[1] and t != o[0]
+            actions[i] = "insert" if o is None else "update" if new else "keep"
+            store[i] = (t, v) if actions[i] != "keep" else o
+        written.clear()
+        got = search.ingest_into(spark.createDataFrame(rows, shape), path, 8)
+        assert sum(written) == 1
+        again = search.ingest_into(spark.createDataFrame(rows, shape), path, 8)
+        assert sorted(map(tuple, got.collect())) == sorted(actions.items()) and {x["action"] for x in again.collect()} <= {"keep"}
+        assert {x["id"]: (x["text"], x["version"]) for x in spark.read.parquet(path).collect()} == store
+    got = search.ingest_documents(spark.createDataFrame([(1, "b", 2), (1, "a", 2), (2, "x", 1)], shape), spark.createDataFrame([(1, "z", 1, "h"), (3, "y", 1, "g")], f"{shape}, hash string"))
+    assert sorted((x["id"], x["text"], x["version"], x["action"]) for x in got.collect()) == [(1, "a", 2, "update"), (2, "x", 1, "insert"), (3, "y", 1, "keep")]

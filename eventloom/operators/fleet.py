@@ -40,12 +40,13 @@ def task_contract(repos: DataFrame, files: DataFrame, task: str) -> DataFrame:
 
 def run_rollup(results: DataFrame) -> DataFrame:
     """WSP-05. Of (batch, position, outcome, code): exit code is the last non-zero in order, where missing and no contract
-    are 2; and how many were ok, failed, missing and without a contract, each result in one count. Of results at the same
-    position, the least of a column place counts, if there is one."""
+    are 2; and how many were ok, failed, missing and without a contract, each result in one count. Results without
+    a position have no place in the order. Of results at the same position, the least of a column place counts, if there is one."""
     away = F.col("outcome").isin("missing", "no contract")
     r = results.withColumn("c", F.when(away, 2).otherwise(F.col("code")))
     counts = {"n_ok": ~away & (F.col("c") == 0), "n_failed": ~away & (F.col("c") != 0), "n_missing": F.col("outcome") == "missing", "n_no_contract": F.col("outcome") == "no contract"}
-    return r.groupBy("batch").agg(F.coalesce(F.min_by("c", F.when(F.col("c") != 0, F.struct(-F.col("position"), *(["place"] if "place" in r.columns else [])))), F.lit(0)).alias("exit_code"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    last = F.when((F.col("c") != 0) & F.col("position").isNotNull(), F.struct(-F.col("position"), *(["place"] if "place" in r.columns else [])))
+    return r.groupBy("batch").agg(F.coalesce(F.min_by("c", last), F.lit(0)).alias("exit_code"), *(F.count_if(c).alias(n) for n, c in counts.items()))
 
 
 def inventory_rows(manifest: DataFrame, lock: DataFrame) -> DataFrame:

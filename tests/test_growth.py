@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import adaptation as ad
 from eventloom.operators import components, evaluate, fleet, incidents, lexical, search
+from eventloom.plans import workspace
 
 
 def test_approximate_topk_makes_no_row_for_each_pair(spark):
@@ -32,6 +33,22 @@ def test_rollup_of_equal_positions(spark):
             assert {r["batch"]: r["exit_code"] for r in fleet.run_rollup(d.repartition(n)).collect()} == {1: 1, 2: 0}
 
 
+def test_rollup_of_odd_line_items(spark, tmp_path):
+    """Quantities between whole numbers round as the SQL's cast does, and a line item without a number or part is last of nothing."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(4)
+    some = lambda x, n: None if r.random() < 1 / n else x
+    rows = [(some(r.randint(0, 300), 50), some(i, 4), some(r.randint(1, 7), 4), some(r.randint(-9, 99) / 4, 9), some(r.choice("ANR"), 9), some(r.choice("FO"), 9)) for i in range(1500)]
+    rows += [(400, None, 3, 5.0, "A", "F"), (400, 7, 1, 4.0, "R", "F"), (401, None, None, 5.0, "A", "F"), (402, 1, 1, 2.5, "R", "F"), (402, 2, 2, 3.5, "R", "F")]
+    cols = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = workspace.Q["wsp05_run_rollup"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(workspace.SQL["wsp05_run_rollup"]).fetchall()))
+    assert {x["batch"]: x["exit_code"] for x in got if x["batch"] in (400, 401, 402)} == {400: 1, 401: 0, 402: 1}
+
+
 def test_last_of_a_key_needs_no_join_by_key(spark, request):
     """Nearly all runs are of one scenario: no shuffle by scenario may carry the runs."""
     rows = [(f"r{i:05}", "big" if i % 50 else f"s{i % 7}", "completed" if i % 3 else "failed", i // 4) for i in range(3000)] + [("x", None, "failed", 3), ("y", None, "completed", 2)]

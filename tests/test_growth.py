@@ -144,6 +144,16 @@ def test_runs_of_a_hot_ancestor_meet_in_many_tasks(spark, monkeypatch):
     assert most_in_one_part(got) < 0.6
 
 
+def test_runs_of_many_small_ancestors_meet_in_few_tasks(spark):
+    """As many tasks as the rows need, not one for each ancestor."""
+    d = spark.createDataFrame([(f"a{i % 700}", f"p{i % 300}") for i in range(2100)], "artifact string, input string")
+    runs = [(f"p{i % 310}", f"run{i}", "m", float(i)) for i in range(900)]
+    got = ad.artifact_lineage(d, spark.createDataFrame(runs, "artifact string, run_id string, metric string, value double"))
+    n = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == sum(sum(1 for r in runs if r[0] == x["ancestor"]) or 1 for x in ad.artifact_lineage(d).collect())
+    assert len(n) < 20
+
+
 def test_documents_are_dealt_by_their_mentions(spark, monkeypatch):
     """Rows of one task stay as many, whatever the shuffle partitions are; a document above a tile stands among small ones."""
     monkeypatch.setattr(search, "PART", 100)

@@ -127,6 +127,20 @@ def test_pairs_of_a_hot_entity_are_made_in_many_tasks(spark):
     assert most_in_one_part(got) < 0.5
 
 
+def test_pairs_of_one_moment_are_made_in_many_tasks(spark, monkeypatch):
+    """Most mentions of an entity are of one second, so of one bucket; buckets beside it have few, and one before it many."""
+    monkeypatch.setattr(incidents, "HOT", 60)
+    r = random.Random(7)
+    rows = [(f"r{i:04}", "service", "hot", 7200) for i in range(900)] + [(f"s{i:04}", "service", "hot", 7200 - r.randint(1, 900)) for i in range(300)]
+    rows += [(f"t{i:04}", "service", "hot" if i % 2 else "cold", r.randint(-9000, 14_000)) for i in range(300)] + [("x", "service", "hot", None), ("y", "service", None, 7200), ("y", "service", None, 7200)]
+    m = spark.createDataFrame(rows, "record_id string, kind string, id string, s long").coalesce(1).withColumn("at", F.timestamp_seconds("s"))
+    for gap in (1, 1801):
+        got = incidents.correlate_pairs(m, gap)
+        want = [(a, b, "service", x) for a, _, x, s in rows[:1500] for b, _, y, t in rows[:1500] if x == y and 0 <= t - s <= gap and (t > s or a < b)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert most_in_one_part(got) < 0.5
+
+
 def test_runs_of_a_hot_ancestor_meet_in_many_tasks(spark, monkeypatch):
     """Nearly all artifacts and runs belong to one ancestor; one ancestor has no run and one run no artifact below it."""
     monkeypatch.setattr(ad, "RUNS", 50)
